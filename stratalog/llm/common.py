@@ -33,14 +33,14 @@ class WordHashes(dict):
 
     BOUND = 200_000
 
-    def __missing__(self, word: bytes) -> int:
+    def __missing__(self, word: bytes) -> bytes:
         if len(self) >= self.BOUND:
             self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        h = self[word] = xxhash.xxh3_64_digest(word)
         return h
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+        return np.frombuffer(b"".join(map(self.__getitem__, words)), np.uint64)
 
 
 def shingles(h: np.ndarray, k: int) -> np.ndarray:
