@@ -1,10 +1,13 @@
 """The queries of the subpackage, and their SQL where SQL can express them."""
 from __future__ import annotations
 
-from stratalog.llm import lang_id, near_dup
+from stratalog.llm import lang_id, mixing, near_dup, packing, secrets
 
 QUERIES = {
+    "op3_best_fit_packing": packing.query,
+    "op5_secret_scan": secrets.query,
     "op7_language_id": lang_id.query,
+    "op8_source_mixing": mixing.query,
     "op9_minhash_near_dedup": near_dup.query,
 }
 
