@@ -22,7 +22,7 @@ from pyspark.sql.window import Window
 from stratalog.plans.scratch import cut
 
 LENGTH, END, TOKENIZER = 2048, 0, "word_bpe_49k.json"
-_CACHE = 200_000
+_CACHE = 150_000
 
 
 def vocabulary_path() -> str:
@@ -32,24 +32,67 @@ def vocabulary_path() -> str:
 
 
 class Ids:
-    """Token ids of a text. The tokenizer never joins over ASCII white space, so what lies between is encoded once and kept."""
+    """Token ids of a text. The tokenizer never joins over ASCII white space, so what lies between is encoded once and kept.
+
+    Two generations are kept, so that common words survive when the bound is met. The tokenizer lowers case, and ends a
+    word at punctuation: an unmet chunk of ASCII is looked up in lower case, and without one last full stop or comma.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tok, self.known = Tokenizer.from_file(path), {}
+        self.tok, self.known, self.old = Tokenizer.from_file(path), {}, {}
+        self.last = np.zeros(self.tok.get_vocab_size() + 1, bool)
+        self.last[[i for t, i in self.tok.get_vocab().items() if t.endswith("</w>")]] = True
+        self.batch = getattr(self.tok, "encode_batch_fast", self.tok.encode_batch)
+
+    def _encode(self, chunks: list[bytes]) -> None:
+        """Words of letters only go many to a call: each is one word to the tokenizer and its last token says so."""
+        texts = [p.decode("utf-8", "replace") for p in chunks]
+        single = [i for i, t in enumerate(texts) if not t.isalpha()]
+        words = [i for i, t in enumerate(texts) if t.isalpha()]
+        groups = [words[at : at + 256] for at in range(0, len(words), 256)]
+        for g, e in zip(groups, self.batch([" ".join([texts[i] for i in g]) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            stops = np.flatnonzero(self.last[ids]) + 1
+            if len(stops) != len(g):  # letters that are normalised to something else
+                single += g
+                continue
+            raw, at = ids.tobytes(), 0
+            for i, to in zip(g, (stops * 4).tolist(), strict=True):
+                self.known[chunks[i]] = raw[at:to]
+                at = to
+        for at in range(0, len(single), 4096):
+            some = single[at : at + 4096]
+            for i, e in zip(some, self.batch([texts[i] for i in some], add_special_tokens=False), strict=True):
+                self.known[chunks[i]] = np.array(e.ids, "<u4").tobytes()
+
+    @staticmethod
+    def plain(p: bytes) -> tuple[bytes, bytes]:
+        """A chunk with the same ids as ``p`` but for a last mark, and that mark."""
+        if not p.isascii() or b"<|" in p:
+            return p, b""
+        p = p.lower()
+        return (p[:-1], p[-1:]) if len(p) > 1 and p[-1:] in (b".", b",") and p[-2:-1].isalnum() else (p, b"")
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
         parts = [t.encode("utf-8", "surrogatepass").split() if t else [] for t in texts]
-        new = list({p for w in parts for p in w if p not in self.known})
-        if len(self.known) + len(new) > _CACHE:
-            self.known.clear()
-            new = list({p for w in parts for p in w})
-        for at in range(0, len(new), 8192):
-            some = new[at : at + 8192]
-            for p, e in zip(some, self.tok.encode_batch([p.decode("utf-8", "replace") for p in some], add_special_tokens=False), strict=True):
-                self.known[p] = np.array(e.ids, "<u4").tobytes()
-        return [np.frombuffer(b"".join(map(self.known.__getitem__, w)), "<u4") for w in parts]
+        if len(self.known) > _CACHE:
+            self.known, self.old = {}, self.known
+        known, old = self.known, self.old
+        new = []
+        for p in {p for w in parts for p in w}:
+            if p not in known:
+                if (ids := old.get(p)) is None:
+                    new.append((p, *self.plain(p)))
+                else:
+                    known[p] = ids
+        todo = {b for _, b, _ in new} | {m for _, _, m in new if m}
+        known.update((p, old[p]) for p in todo if p in old and p not in known)
+        self._encode([p for p in todo if p not in known])
+        for p, body, mark in new:
+            known[p] = known[body] + known[mark] if mark else known[body]
+        return [np.frombuffer(b"".join(map(known.__getitem__, w)), "<u4") for w in parts]
 
 
 def pieces(docs: DataFrame, path: str | None = None) -> DataFrame:
