@@ -72,7 +72,7 @@ def vote(df: DataFrame, text: str, *keys: str, name: str = "fingerprint") -> Dat
     # The word hashes are a column of their own: within the windows' expression they would be made again for each.
     words = df.select(*keys, word_hashes(F.coalesce(F.col(text), F.lit(""))).alias("_w"))
     terms = words.select(*keys, F.posexplode_outer(term_hashes(F.col("_w"))).alias("at", "a"))
-    terms = terms.select(*keys, F.floor(F.col("at") / PART).alias("_part"), "a", F.xxhash64(F.lit(2), "a").alias("b"))
+    terms = terms.select(*keys, F.floor(F.col("at") / PART).alias("_part"), "a", F.when(F.col("a").isNotNull(), F.xxhash64(F.lit(2), "a")).alias("b"))
     parts = terms.groupBy(*keys, "_part").agg(F.count("a").alias("_n"), *_parts_sums())
     whole = parts.groupBy(*keys).agg(F.sum("_n").alias("_n"), *_all_sums())
     return whole.select(*keys, _fingerprint().alias(name))

@@ -117,10 +117,11 @@ def candidates(path: str, spark, block: int = BLOCK) -> DataFrame:
 def reachable(entries: DataFrame, rounds: int = 64) -> DataFrame:
     """(file, at) on the chain from offset 0, by pointer jumping over (file, at, exit): round k reaches 2^k steps further."""
     jump = cut(entries.select("file", "at", F.col("exit").alias("to")), "jump")
+    nodes = jump.select("file", "at")
     known = cut(jump.where("at = 0").select("file", "at"), "known")
     count = known.count()
     for _ in range(rounds):
-        far = known.join(jump, ["file", "at"]).select("file", F.col("to").alias("at")).join(jump.select("file", "at"), ["file", "at"], "left_semi")
+        far = known.join(jump, ["file", "at"]).select("file", F.col("to").alias("at")).join(nodes, ["file", "at"], "left_semi")
         known = cut(known.unionByName(far).distinct(), "known")
         if (n := known.count()) == count:
             break

@@ -1,0 +1,266 @@
+"""Each operator against a brute-force version, and over nulls, empty and long texts, repeats, and empty tables."""
+import base64
+import hashlib
+import itertools
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from stratalog.llm import components, lang_id, licenses, mixing, near_dup, packing, quality, quotes, registry, secrets, simhash, warc
+from tests.parity import assert_equal
+
+SF = "/root/testdata/sf0.001"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, size long, lang_pred string"
+LONG = "uno dos tres " * 30000
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    rows = [
+        (1, None, None, None, None, 1, "x"), (2, "", "en", "a", 0, 1, "x"), (3, " \n\t ", "en", "a", 4, 1, "x"), (None, "no id here", "en", "a", 10, 1, "x"),
+        (4, LONG, "es", "b", len(LONG), 1, "x"), (5, "same words in here", "en", "a", 18, 1, "x"), (6, "same words in here", "en", "a", 18, 1, "x"), (6, "same words in here", "en", "a", 18, 1, "x"),
+        (7, "\U0001f600 123 ...", None, "c", 9, 1, "x"), (8, 'x token = "0123456789abcdef0123456789abcdef01234567" y', "en", "a", 54, 1, "x"),
+    ]
+    return spark.createDataFrame(rows, DOCS).cache()
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def real(spark, n=200):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+def test_components(spark):
+    e = spark.createDataFrame([(i, i + 1) for i in range(1, 60) if i % 20] + [(5, 5), (90, 7)], "u long, v long")
+    got = {r["u"]: r["v"] for r in components.components(e).collect()}
+    assert got == {i: 1 + (i - 1) // 20 * 20 for i in range(1, 61) if (i - 1) % 20} | {90: 1}
+
+
+def test_near_dup_equals_all_pairs(spark, odd, none):
+    docs = real(spark).select("doc_id", "text").unionByName(odd.select("doc_id", "text").withColumn("doc_id", F.col("doc_id") + 10**6))
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+
+    def shingles(t):
+        w = [re.sub("[A-Z]", lambda m: m[0].lower(), x) for x in re.findall(r"[^\x20\x09-\x0D]+", t or "")]
+        return {tuple(w[i : i + 3]) for i in range(len(w) - 2)} if len(w) > 2 else {tuple(w)} if w else set()
+
+    sets = {i: shingles(t) for i, t in rows if i is not None}
+    top = {i: i for i in sets}
+    root = lambda x: x if top[x] == x else root(top[x])
+    for a, b in itertools.combinations(sets, 2):
+        n = len(sets[a] & sets[b])
+        if n and 100 * n >= 85 * len(sets[a] | sets[b]):
+            x, y = sorted((root(a), root(b)))
+            top[y] = x
+    got = near_dup.near_duplicates(docs, 3, 85).collect()
+    assert len(got) == len(rows)
+    assert {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in got if r["doc_id"] is not None} == {(i, len(s), root(i)) for i, s in sets.items()}
+    assert all(r["kept"] == (r["doc_id"] == r["component_id"] or r["doc_id"] is None) for r in got)
+    assert near_dup.near_duplicates(none).count() == 0
+
+
+def test_large_family_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "MAX_BLOCK", 7)
+    monkeypatch.setattr(near_dup, "BLOCK", 7)
+    base = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join([*base[:i], f"x{i}", *base[i + 1 :]])) for i in range(40)]
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()
+    assert {r["component_id"] for r in got} == {0} and sum(r["kept"] for r in got) == 1
+
+
+def test_estimate_is_near_the_truth():
+    s = near_dup.Sketch(3, 60)
+    x = np.arange(1000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for keep in (900, 500, 0):
+        y = np.concatenate([x[:keep], x[:1000 - keep] + np.uint64(1)])
+        sig = [np.frombuffer(s.packed(s.minima(np.unique(v))), np.uint8)[None] for v in (x, y)]
+        assert abs(near_dup.estimate(*sig)[0, 0] - keep / (2000 - keep)) < 0.12
+
+
+def test_language(spark, odd, none):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = lang_id.identify(d, "doc_id", "lang").withColumn("out", lang_id.held_out()).where("out").toPandas()
+    assert (got["lang"] == got["lang_pred"]).mean() > 0.97
+    r = {x["doc_id"]: x for x in lang_id.predict(odd, lang_id.learn(d), "doc_id").collect()}
+    assert [r[i]["lang_pred"] for i in (1, 2, 3, 7)] == ["und"] * 4 and all(0 <= x["score"] <= 1 for x in r.values())
+    assert {x["lang_pred"] for x in lang_id.predict(odd, lang_id.learn(none), "doc_id").collect()} == {"und"}
+    t = "Été à la plage, deux fois."
+    book = lang_id.Codebook()
+    assert np.array_equal(book.encode([book.rows(t)])[0], lang_id.exact(*lang_id.ngrams(t)))
+
+
+def test_packing_round_trip(spark, odd, none):
+    from tokenizers import Tokenizer
+
+    docs = real(spark).select("doc_id", "text").unionByName(odd.select("doc_id", "text").where("doc_id <> 6").withColumn("doc_id", F.col("doc_id") + 10**6))
+    tok = Tokenizer.from_file(packing.vocabulary_path())
+    got = packing.pack(docs).toPandas()
+    rows = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for i, g in got.groupby("doc_id"):
+        ids = np.array([*tok.encode(rows[i] or "", add_special_tokens=False).ids, 0], "<u4")
+        g = g.sort_values("piece")
+        assert list(g["start"]) == list(range(0, len(ids), 2048)) and g["length"].sum() == len(ids)
+        assert list(g["ids_crc32"]) == [zlib.crc32(ids[a : a + 2048].tobytes()) for a in g["start"]]
+    for _, g in got.groupby("sequence_id"):
+        g = g.sort_values("offset")
+        assert list(g["offset"]) == [0, *g["length"].cumsum()[:-1]] and g["length"].sum() <= 2048
+    assert got["sequence_id"].nunique() <= 1.03 * got["length"].sum() / 2048 + 1
+    assert packing.pack(none).count() == 0
+
+
+def test_fullest_equals_search():
+    rng = np.random.default_rng(0)
+    for _ in range(60):
+        counts = Counter(rng.integers(1, 15, 6).tolist())
+        room = int(rng.integers(1, 40))
+        items = list(counts.elements())
+        best = max(sum(c) for k in range(len(items) + 1) for c in itertools.combinations(items, k) if sum(c) <= room)
+        combo = packing.fullest(dict(counts), room)
+        assert sum(n * k for n, k in combo.items()) == best and all(k <= counts[n] for n, k in combo.items())
+
+
+def test_mixing(spark, odd, none):
+    for docs in (real(spark), odd, odd.where("source is null")):
+        m = mixing.mix(docs.select("doc_id", "text", "source")).select("source", "_size", "_source_size", "_target", "_draws").toPandas()
+        words = [len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")) for r in docs.collect()]
+        assert sorted(words) == sorted(m["_size"])
+        goal = mixing.targets([(None if s != s else s, int(g["_size"].sum())) for s, g in m.groupby("source", dropna=False)])
+        for s, g in m.groupby("source", dropna=False):
+            taken = (g["_size"] * g["_draws"].map(len)).sum()
+            assert g["_target"].iloc[0] == pytest.approx(goal[None if s != s else s]) and abs(taken - g["_target"].iloc[0]) <= g["_size"].max() / 2 + 1
+        assert m["_draws"].map(len).max() <= 3
+    assert mixing.mix(none.select("doc_id", "text", "source")).count() == 0
+    q = np.array([100, 7, 0, 3000])
+    s = mixing.split(q, 7)
+    assert (s.sum(0) == q).all() and (s >= 0).all() and np.ptp(s.sum(1)) <= 3
+    assert sum(mixing.targets([("a", 10), ("b", 1), (None, 100)]).values()) == pytest.approx(111)
+
+
+def test_secrets(spark, odd, none):
+    model = secrets.train(secrets.labelled_findings(spark))
+    held = secrets.features(secrets.labelled_findings(spark, 9000).where("true")).limit(9000)
+    from pyspark.ml.feature import VectorAssembler
+
+    r = model.transform(VectorAssembler(inputCols=secrets.FEATURES, outputCol="v").transform(held)).select((F.col("label") == F.col("prediction")).cast("int").alias("ok")).agg(F.avg("ok")).first()[0]
+    assert r > 0.95
+    got = secrets.scan(odd, model).collect()
+    assert [(r["doc_id"], r["start"], r["length"], r["is_secret"]) for r in got] == [(8, 11, 40, True)]
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = [(r["doc_id"], r["start"], r["candidate"]) for r in secrets.candidates(d).collect()]
+    text = {r["doc_id"]: r["text"] for r in d.collect()}
+    assert sorted(found) == sorted((i, m.start(), m[0]) for i, t in text.items() for m in re.finditer(secrets.CANDIDATE.replace("}+=", "}="), t or ""))
+    out = {r["doc_id"]: r["text"] for r in secrets.stage(spark, odd, SF).collect()}
+    assert out[8] == 'x token = "[SECRET]" y' and out[5] == "same words in here" and out[1] is None
+    assert secrets.scan(none, model).count() == 0
+
+
+def test_simhash(spark, odd, none):
+    docs = real(spark).select("doc_id", "text").where("doc_id < 120").unionByName(odd.select("doc_id", "text").where("doc_id <> 6").withColumn("doc_id", F.col("doc_id") + 10**6))
+    rows = sorted(((r["doc_id"], r["text"] or "") for r in docs.collect()))
+
+    def x64(v, seed=42):
+        return xxhash.xxh64_intdigest(v, seed)
+
+    def fp(t):
+        w = [x64(x.encode()) for x in re.findall(r"[^\x20\x09-\x0D]+", t)]
+        terms = []
+        for i in range(max(1, len(w) - 4) if w else 0):
+            h = 42
+            for y in w[i : i + 5]:
+                h = x64(y.to_bytes(8, "little"), h)
+            terms.append((h, x64(h.to_bytes(8, "little"), x64((2).to_bytes(4, "little")))))
+        out = ""
+        for half in (0, 1):
+            bits = sum((2 * sum(t[half] >> b & 1 for t in terms) > len(terms)) << b for b in range(64))
+            out += f"{bits:016x}"
+        return out
+
+    got = {r["doc_id"]: r for r in simhash.edited(docs).collect()}
+    assert len(got) == len(rows)
+    for k, (i, t) in enumerate(rows):
+        nxt, n = rows[(k + 1) % len(rows)][1], len(t) // 4
+        e = t[: len(t) - n] + nxt[:n]
+        like = lambda a, b: 1 - (int(a, 16) ^ int(b, 16)).bit_count() / 128
+        assert got[i]["n_chars"] == len(t) and got[i]["edited_sha256"] == hashlib.sha256(e.encode()).hexdigest()
+        if len(t) < 20000:
+            assert got[i]["fingerprint"] == fp(t) and got[i]["edited_fingerprint"] == fp(e)
+        assert got[i]["near_edited"] == pytest.approx(like(got[i]["fingerprint"], got[i]["edited_fingerprint"])) and got[i]["near_next"] == pytest.approx(like(got[i]["fingerprint"], got[rows[(k + 1) % len(rows)][0]]["fingerprint"]))
+    assert simhash.edited(none).count() == 0
+    f = [(i, f"{int(h, 16) ^ bit:032x}") for i, (h, bit) in enumerate(itertools.product([fp("a b c d e f"), fp("g h i j k l")], [0, 1, 3, 7 << 60, 15 << 90]))]
+    pairs = {(r["a"], r["b"]) for r in simhash.near_pairs(spark.createDataFrame(f, "id long, fingerprint string"), 3).collect()}
+    assert pairs == {(a, b) for (a, x), (b, y) in itertools.combinations(f, 2) if 0 < (int(x, 16) ^ int(y, 16)).bit_count() <= 3}
+
+
+def test_quality(spark, odd, none):
+    assert_equal(spark, SF, quality.query, quality.ORACLE_SQL)
+    got = {r["doc_id"]: r for r in quality.rate(odd).collect()}
+    assert got[1]["base_failed"] and got[4]["n_words"] == 90000 and got[4]["base_failed"] and not got[1]["kept"]
+    page = " ".join(f"own{i}" for i in range(60))
+    rows = [(i, f"the same long line here\n{page} {i}", "h") for i in range(60)] + [(99, "\n".join(["the same long line here"] * 1 + ["w " * 3]) + " z" * 60, "h")]
+    r = quality.rate(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert all(x["removed_words"] == 5 for x in r)
+    shared = [(i, page + "\n" + " ".join(f"tail{j}" for j in range(i % 3)), "h") for i in range(3)] + [(10 + i, page + f"\nonly {i} me", "h") for i in range(60)]
+    assert not any(x["kept"] for x in quality.rate(spark.createDataFrame(shared, "doc_id long, text string, source string")).collect())
+    assert quality.rate(none).count() == 0
+
+
+def test_warc(spark, tmp_path):
+    evil = "WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:77>\r\nContent-Length: 1\r\n\r\nx\r\n\r\n"
+    rows = [(1, "u", "aé"), (2, None, "aé"), (3, "u", None), (4, "u", ""), (5, "u", evil * 3), (6, "u", "y" * 5000 + evil), (None, "u", "aé"), (8, "u", "WARC/1.0\r\n")]
+    rows += [(100 + i, "u", f"<p>{i}</p>" * 50) for i in range(60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    warc.write(warc.records(pages), str(tmp_path / "w"))
+    for block in (64, 1000, 1 << 20):
+        got = warc.read(str(tmp_path / "w"), spark, block).toPandas()
+        assert len(got) == len(rows) and got["intact"].all()
+        top = {}
+        for i, _, h in rows:
+            top[h or ""] = max(top.get(h or "", -1), -1 if i is None else i)
+        by = {(None if x["page_id"] != x["page_id"] else int(x["page_id"])): x for x in got.to_dict("records")}
+        for i, _, h in rows:
+            p = (h or "").encode()
+            x = by[i]
+            assert x["payload_bytes"] == len(p) and x["payload_digest"] == base64.b32encode(hashlib.sha1(p).digest()).decode()
+            assert (x["record_type"], x["refers_to"] if x["refers_to"] == x["refers_to"] else None) == (("response", None) if top[h or ""] == i else ("revisit", top[h or ""]))
+    assert warc.records(pages.limit(0)).count() == 0
+
+
+def test_licenses(spark, odd, none):
+    known = {"Released under the MIT License.": ["MIT"], "Licensed under the Apache License, Version 2.0.": ["Apache-2.0"], "Licensed under CC BY-NC 4.0.": ["CC-BY-NC-4.0"], "This work is licensed under the GNU General Public License, version 3.": ["GPL-3.0"]}
+    for s, want in known.items():
+        for t in (s, f"Some prose. {s} More prose!", s.upper().replace(" ", "!! ") + "!!", s.replace(" ", "%%% ")):
+            assert licenses.identify(t)[1] == want, t
+    assert licenses.identify("Redistribution and use in source and binary forms, with or without modification, are permitted.\nRedistributions of source code must retain the above copyright notice.\nRedistributions in binary form must reproduce the above copyright notice.")[1] == ["BSD-2-Clause"]
+    assert licenses.identify("A strange licence applies.") == (["UNKNOWN"], [])
+    assert all(licenses.TRIGGER.search(re.sub(r"[\\()?|]|\.\*", " ", p)) for _, p in licenses.SENTENCES)
+    assert licenses.scan(odd).count() == 10 and licenses.scan(none).count() == 0
+
+
+def test_quotes(spark):
+    rows = [(1, 0, "u", "Hello there friend.\nSecond para"), (1, 1, "a", "> hello there  FRIEND.\nI agree"), (2, 0, "u", ">> hello there friend.\n> I agree\nok"), (2, 1, "a", None), (None, 1, "a", "> x"), (3, 5, None, "> ok\n> nothing like it"), (3, 6, "u", ">")]
+    m = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    got = {(r["conv_id"], r["turn"]): r for r in quotes.link(m).collect()}
+    assert len(got) == len(rows)
+    r = got[2, 0]
+    assert (r["reply_conv"], r["reply_turn"], r["thread_conv"], r["thread_turn"], r["depth"], r["n_linked"], r["clean_text"]) == (1, 1, 1, 0, 2, 2, "ok")
+    assert got[3, 5]["n_quotes"] == 1 and got[3, 5]["n_linked"] == 0 and got[2, 1]["clean_text"] == ""
+    order = [(x["conv_id"], x["turn"]) for x in quotes.conversations(quotes.link(m)).where("thread_conv = 1").collect()]
+    assert order == [(1, 0), (1, 1), (2, 0)]
+    assert quotes.link(m.limit(0)).count() == 0
+
+
+def test_pipeline(spark):
+    got = corpus_pipeline.run(spark, SF).toPandas()
+    assert got.groupby("sequence_id")["length"].sum().max() <= 2048 and len(corpus_pipeline.STAGES) == 5
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    assert set(got["doc_id"]) <= {r[0] for r in docs.select("doc_id").collect()}
+    assert set(registry.ORACLE_SQL) <= set(registry.QUERIES) and len(registry.QUERIES) == 10
