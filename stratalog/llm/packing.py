@@ -11,8 +11,10 @@ interchangeable. Texts of any length are tokenized whole. ``doc_id`` may be null
 """
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -39,6 +41,8 @@ class Ids:
     """
 
     def __init__(self, path: str):
+        # The tasks are the parallelism; threads within one only add to its CPU time.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok, self.known, self.old = Tokenizer.from_file(path), {}, {}
@@ -95,12 +99,18 @@ class Ids:
         return [np.frombuffer(b"".join(map(known.__getitem__, w)), "<u4") for w in parts]
 
 
+@cache
+def ids_of(path: str) -> Ids:
+    """One for a worker process, so that a task goes on with the words that the tasks before it have met."""
+    return Ids(path)
+
+
 def pieces(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece."""
     path = path or vocabulary_path()
 
     def tokenize(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids = Ids(path)
+        ids = ids_of(path)
         for b in batches:
             for lo in range(0, len(b), 256):
                 out = []
