@@ -18,13 +18,16 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from stratalog.plans.scratch import cut
 
 LENGTH, END, TOKENIZER = 2048, 0, "word_bpe_49k.json"
-_CACHE = 150_000
+#: Chunks kept in a generation, and bytes of text to a call.
+_CACHE, _BYTES, _END = 300_000, 4 << 20, np.uint32(END).astype("<u4").tobytes()
 
 
 def vocabulary_path() -> str:
@@ -79,13 +82,13 @@ class Ids:
         p = p.lower()
         return (p[:-1], p[-1:]) if len(p) > 1 and p[-1:] in (b".", b",") and p[-2:-1].isalnum() else (p, b"")
 
-    def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
-        parts = [t.encode("utf-8", "surrogatepass").split() if t else [] for t in texts]
+    def _lookup(self, chunks: list[bytes]) -> list[bytes]:
+        """The ids of distinct chunks, as bytes."""
         if len(self.known) > _CACHE:
             self.known, self.old = {}, self.known
         known, old = self.known, self.old
         new = []
-        for p in {p for w in parts for p in w}:
+        for p in chunks:
             if p not in known:
                 if (ids := old.get(p)) is None:
                     new.append((p, *self.plain(p)))
@@ -96,7 +99,25 @@ class Ids:
         self._encode([p for p in todo if p not in known])
         for p, body, mark in new:
             known[p] = known[body] + known[mark] if mark else known[body]
-        return [np.frombuffer(b"".join(map(known.__getitem__, w)), "<u4") for w in parts]
+        return list(map(known.__getitem__, chunks))
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in turn, and where each text's begin (with the end of the last). A null has none.
+
+        Chunks are split and numbered by Arrow; Python sees each distinct one of the call once.
+        """
+        parts = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        bounds, words = parts.offsets.to_numpy(), parts.values.cast(pa.binary()).dictionary_encode()
+        if not len(words):
+            return np.zeros(0, "<u4"), np.zeros(len(texts) + 1, np.int64)
+        ids = self._lookup(words.dictionary.to_pylist())
+        length = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        first, at = np.cumsum(length) - length, words.indices.to_numpy()
+        n = length[at]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        where = np.repeat(first[at] - ends[:-1], n)
+        where += np.arange(len(where))
+        return np.frombuffer(b"".join(ids), "<u4")[where], ends[bounds]
 
 
 @cache
@@ -109,18 +130,26 @@ def pieces(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece."""
     path = path or vocabulary_path()
 
-    def tokenize(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = ids_of(path)
         for b in batches:
-            for lo in range(0, len(b), 256):
+            size = np.cumsum(pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            lo = 0
+            while lo < len(b):  # as many texts as have _BYTES together, one at least
+                hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + _BYTES, side="right")))
+                t, bounds = ids(b.column("text").slice(lo, hi - lo))
                 out = []
-                part = b.iloc[lo : lo + 256]
-                for doc, t in zip(part["doc_id"], ids(list(part["text"])), strict=True):
-                    t = np.append(t, np.uint32(END)).astype("<u4")
-                    out += [(doc, p, at, len(x := t[at : at + LENGTH]), zlib.crc32(x.tobytes())) for p, at in enumerate(range(0, len(t), LENGTH))]
-                yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
-
-    return docs.select("doc_id", "text").mapInPandas(tokenize, "doc_id long, piece int, start long, length long, ids_crc32 long")
+                for i, (a, z) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True), lo):
+                    for p, at in enumerate(range(0, z - a + 1, LENGTH)):
+                        n = min(LENGTH, z - a + 1 - at)
+                        crc = zlib.crc32(t[a + at : min(z, a + at + n)])
+                        out.append((i, p, at, n, crc if a + at + n <= z else zlib.crc32(_END, crc)))
+                rows, piece, start, length, crc = map(list, zip(*out, strict=True))
+                cols = [b.column("doc_id").take(pa.array(rows)).cast(pa.int64()), pa.array(piece, pa.int32()), *(pa.array(c, pa.int64()) for c in (start, length, crc))]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "piece", "start", "length", "ids_crc32"])
+                lo = hi
+
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(tokenize, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def fullest(counts: dict[int, int], room: int) -> dict[int, int]:
