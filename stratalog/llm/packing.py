@@ -27,7 +27,7 @@ from stratalog.plans.scratch import cut
 
 LENGTH, END, TOKENIZER = 2048, 0, "word_bpe_49k.json"
 #: Chunks kept in a generation, and bytes of text to a call.
-_CACHE, _BYTES, _END = 300_000, 4 << 20, np.uint32(END).astype("<u4").tobytes()
+_CACHE, _BYTES, _MARKS, _END = 300_000, 8 << 20, (b".", b","), np.uint32(END).astype("<u4").tobytes()
 
 
 def vocabulary_path() -> str:
@@ -40,7 +40,7 @@ class Ids:
     """Token ids of a text. The tokenizer never joins over ASCII white space, so what lies between is encoded once and kept.
 
     Two generations are kept, so that common words survive when the bound is met. The tokenizer lowers case, and ends a
-    word at punctuation: an unmet chunk of ASCII is looked up in lower case, and without one last full stop or comma.
+    word at punctuation: chunks are looked up in lower case, and unmet ones of ASCII without one last full stop or comma.
     """
 
     def __init__(self, path: str):
@@ -74,39 +74,32 @@ class Ids:
             for i, e in zip(some, self.batch([texts[i] for i in some], add_special_tokens=False), strict=True):
                 self.known[chunks[i]] = np.array(e.ids, "<u4").tobytes()
 
-    @staticmethod
-    def plain(p: bytes) -> tuple[bytes, bytes]:
-        """A chunk with the same ids as ``p`` but for a last mark, and that mark."""
-        if not p.isascii() or b"<|" in p:
-            return p, b""
-        p = p.lower()
-        return (p[:-1], p[-1:]) if len(p) > 1 and p[-1:] in (b".", b",") and p[-2:-1].isalnum() else (p, b"")
-
     def _lookup(self, chunks: list[bytes]) -> list[bytes]:
         """The ids of distinct chunks, as bytes."""
         if len(self.known) > _CACHE:
             self.known, self.old = {}, self.known
         known, old = self.known, self.old
-        new = []
-        for p in chunks:
-            if p not in known:
-                if (ids := old.get(p)) is None:
-                    new.append((p, *self.plain(p)))
-                else:
-                    known[p] = ids
-        todo = {b for _, b, _ in new} | {m for _, _, m in new if m}
-        known.update((p, old[p]) for p in todo if p in old and p not in known)
+        new = [p for p in chunks if p not in known]
+        if old:
+            known.update([(p, old[p]) for p in new if p in old])
+            new = [p for p in new if p not in known]
+        # A word with one last mark has the ids of the word, then those of the mark.
+        marked = [p for p in new if p[-1:] in _MARKS and p[-2:-1].isalnum() and p.isascii() and b"<|" not in p]
+        apart = set(marked)
+        todo = {p for p in new if p not in apart} | {p[:-1] for p in marked} | {p[-1:] for p in marked}
         self._encode([p for p in todo if p not in known])
-        for p, body, mark in new:
-            known[p] = known[body] + known[mark] if mark else known[body]
-        return list(map(known.__getitem__, chunks))
+        known.update([(p, known[p[:-1]] + known[p[-1:]]) for p in marked])
+        return [known[p] for p in chunks]
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in turn, and where each text's begin (with the end of the last). A null has none.
 
         Chunks are split and numbered by Arrow; Python sees each distinct one of the call once.
         """
-        parts = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        texts = pc.fill_null(texts, "")
+        if not pc.any(pc.match_substring(texts, "<|")).as_py():  # else they may hold a special token, which has its case
+            texts = pc.ascii_lower(texts)
+        parts = pc.ascii_split_whitespace(texts)
         bounds, words = parts.offsets.to_numpy(), parts.values.cast(pa.binary()).dictionary_encode()
         if not len(words):
             return np.zeros(0, "<u4"), np.zeros(len(texts) + 1, np.int64)
