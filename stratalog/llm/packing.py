@@ -27,7 +27,7 @@ from stratalog.plans.scratch import cut
 
 LENGTH, END, TOKENIZER = 2048, 0, "word_bpe_49k.json"
 #: Chunks kept in a generation, and bytes of text to a call.
-_CACHE, _BYTES, _MARKS, _END = 300_000, 8 << 20, (b".", b","), np.uint32(END).astype("<u4").tobytes()
+_CACHE, _BYTES, _MARKS, _END = 200_000, 4 << 20, (b".", b","), np.uint32(END).astype("<u4").tobytes()
 
 
 def vocabulary_path() -> str:
@@ -140,6 +140,8 @@ def pieces(docs: DataFrame, path: str | None = None) -> DataFrame:
                 rows, piece, start, length, crc = map(list, zip(*out, strict=True))
                 cols = [b.column("doc_id").take(pa.array(rows)).cast(pa.int64()), pa.array(piece, pa.int32()), *(pa.array(c, pa.int64()) for c in (start, length, crc))]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "piece", "start", "length", "ids_crc32"])
+                del t, bounds, out, cols
+                pa.default_memory_pool().release_unused()  # the worker lives on, and other stages need the room
                 lo = hi
 
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(tokenize, "doc_id long, piece int, start long, length long, ids_crc32 long")
