@@ -1,7 +1,11 @@
 """What the operators share."""
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
@@ -16,6 +20,17 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def parts(b: pa.RecordBatch, text: str = "text", size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """``b`` in slices of about ``size`` bytes of text, one row at least; the pool's free memory goes back after each."""
+    n = pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends, lo = np.cumsum(n), 0
+    while lo < len(b):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + size, side="right")))
+        yield b.slice(lo, hi - lo)
+        pa.default_memory_pool().release_unused()
+        lo = hi
+
+
 def split_words(text: str | None) -> list[bytes]:
     """Words by WORD, in UTF-8: bytes.split() ends words at exactly these six characters."""
     return text.encode("utf-8", "surrogatepass").split() if text else []

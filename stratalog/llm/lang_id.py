@@ -14,9 +14,11 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from stratalog.llm.common import parts
+
 DIM, N, SEED = 512, 3, 20260
 #: Languages up to which prototypes (4 KB each) may be sent to the driver and back.
 MAX_LANGS = 2000
@@ -151,12 +153,12 @@ def exact(keys: np.ndarray, counts: np.ndarray, step: int = 4096) -> np.ndarray:
 def learn(docs: DataFrame) -> dict[str, np.ndarray]:
     """Prototypes by language from columns text and lang. Each task sends one vector a language; Spark adds them up."""
 
-    def bundle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         book = Codebook()
         counts: dict[str, np.ndarray] = {}
         other: dict[str, np.ndarray] = {}
-        for b in batches:
-            for text, lang in zip(b["text"], b["lang"], strict=True):
+        for b in (p for whole in batches for p in parts(whole)):
+            for text, lang in zip(b.column("text").to_pylist(), b.column("lang").to_pylist(), strict=True):
                 if (r := book.rows(text)) is not None:
                     c = counts.setdefault(lang, np.zeros(0, np.int64))
                     if len(c) < book.n:
@@ -166,11 +168,12 @@ def learn(docs: DataFrame) -> dict[str, np.ndarray]:
                     other[lang] = other.get(lang, 0) + exact(*g)
         for lang in counts.keys() | other.keys():
             c = counts.get(lang, np.zeros(0, np.int64))[: book.n]
-            yield pd.DataFrame({"lang": [lang], "v": [exact(book.keys[: len(c)], c) + other.get(lang, 0)]})
+            v = exact(book.keys[: len(c)], c) + other.get(lang, 0)
+            yield pa.RecordBatch.from_arrays([pa.array([lang], pa.string()), pa.array([v], pa.list_(pa.int64()))], ["lang", "v"])
 
     sums = (
         docs.select("text", "lang").where("lang is not null and text is not null")
-        .mapInPandas(bundle, "lang string, v array<long>")
+        .mapInArrow(bundle, "lang string, v array<long>")
         .select("lang", F.posexplode("v").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x"))
     )
     rows = sums.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("v"))  # DIM entries each
@@ -187,26 +190,30 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], *keep: str) -> D
     norms = np.linalg.norm(matrix, axis=1)
     matrix = matrix / np.where(norms > 0, norms, 1)[:, None]
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         book = Codebook()
-        for b in batches:
-            pred, best = np.full(len(b), "und", object), np.zeros(len(b))
-            for at in range(0, len(b), 64):
-                part = b["_text"].iloc[at : at + 64]
-                met = [(i, r) for i, t in enumerate(part, at) if names and (r := book.rows(t)) is not None]
-                vecs = [(np.array([i for i, _ in met]), book.encode([r for _, r in met]))] if met else []
-                done = {i for i, _ in met}
-                vecs += [(np.array([i]), exact(*g)[None].astype(np.float64)) for i, t in enumerate(part, at) if names and i not in done and (g := ngrams(t)) is not None]
-                for where, v in vecs:
-                    n = np.linalg.norm(v, axis=1)
-                    cos = (v @ matrix.T) / np.where(n > 0, n, 1)[:, None]
-                    for i, t, c in zip(where, cos.argmax(1), cos, strict=True):
-                        pred[i], best[i] = names[t], min(1.0, max(0.0, float(c[t])))
-            yield b.drop(columns="_text").assign(lang_pred=pred, score=best)
-
-    kept = docs.select(*keep, F.col("text").alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "_text")
-    return kept.mapInPandas(score, schema + ", lang_pred string, score double")
+        for whole in batches:
+            for b in parts(whole):
+                texts = b.column("text")
+                pred, best = ["und"] * len(b), [0.0] * len(b)
+                for at in range(0, len(b), 64):
+                    part = texts.slice(at, 64).to_pylist()
+                    met = [(i, r) for i, t in enumerate(part, at) if names and (r := book.rows(t)) is not None]
+                    vecs = [([i for i, _ in met], book.encode([r for _, r in met]))] if met else []
+                    done = {i for i, _ in met}
+                    vecs += [([i], exact(*g)[None].astype(np.float64)) for i, t in enumerate(part, at) if names and i not in done and (g := ngrams(t)) is not None]
+                    for where, v in vecs:
+                        n = np.linalg.norm(v, axis=1)
+                        cos = (v @ matrix.T) / np.where(n > 0, n, 1)[:, None]
+                        for i, t, c in zip(where, cos.argmax(1), cos, strict=True):
+                            pred[i], best[i] = names[t], min(1.0, max(0.0, float(c[t])))
+                cols = [b.column(c) for c in keep] + [pa.array(pred, pa.string()), pa.array(best, pa.float64())]
+                yield pa.RecordBatch.from_arrays(cols, [*keep, "lang_pred", "score"])
+
+    text = F.col("text").cast("string").alias("text")
+    kept = docs.select(*[text if c == "text" else F.col(c) for c in keep], *([] if "text" in keep else [text]))
+    schema = ", ".join(f"`{c}` {kept.schema[c].dataType.simpleString()}" for c in keep)
+    return kept.mapInArrow(score, schema + ", lang_pred string, score double")
 
 
 def held_out():
@@ -233,6 +240,5 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     cols = ["doc_id", "text", "lang", "source", "n_chars"]
     kept = docs.select(*cols)
     prototypes = learn(kept.where(~held_out()))
-    # The text goes through twice: once to be scored, once to be returned.
     scored = predict(kept, prototypes, *cols)
     return scored.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE)).select(*cols)
