@@ -20,10 +20,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from stratalog.llm.common import WordHashes, mix, shingles, small
+from stratalog.llm.common import WordHashes, mix, parts, shingles, small
 from stratalog.llm.components import components
 from stratalog.plans.scratch import cut
 
@@ -48,11 +49,15 @@ class Sketch:
         self.a = rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.b = rng.integers(0, 2**63, n, dtype=np.uint64)
 
-    def set(self, text: str | None) -> np.ndarray:
-        # bytes.lower() changes A-Z only
-        words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
+    def set(self, text: bytes | None) -> np.ndarray:
+        """The set of a text in UTF-8."""
+        words = text.lower().split() if text else []  # bytes.lower() changes A-Z only
         return shingles(self.words.of(words), self.k)
 
+    def sets(self, b: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for t in b.column("text").cast(pa.binary()):
+            yield self.set(t.as_py())
+
     def minima(self, s: np.ndarray) -> np.ndarray:
         out = np.full(len(self.a), 0xFFFFFFFFFFFFFFFF, np.uint64)
         for at in range(0, len(s), 1024):
@@ -85,27 +90,35 @@ def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (1 - differ / (4 * a.shape[1]) - chance) / (1 - chance)
 
 
-def overlaps(a: list[np.ndarray], b: list[np.ndarray], step: int = 8192) -> np.ndarray:
-    """Sizes of the intersections of sets, a's by b's, as products of 0/1 matrices over ``step`` elements at a time."""
-    every, count = np.unique(np.concatenate(a + b), return_counts=True)
-    every = every[count > 1]
+def overlaps(a: list[np.ndarray], b: list[np.ndarray], step: int = 8192, most: int = 1 << 20) -> np.ndarray:
+    """Sizes of the intersections of sorted sets, a's by b's, as products of 0/1 matrices over ``step`` elements at a time.
+
+    Elements are hashes: equal ranges of their values hold about ``most`` each, whatever the sets' sizes.
+    """
+    n = -(-(sum(map(len, a)) + sum(map(len, b))) // most)
+    bounds = np.array([(i << 64) // n for i in range(1, n)], np.uint64)
+    cuts = [[[0, *np.searchsorted(s, bounds).tolist(), len(s)] for s in sets] for sets in (a, b)]
     out = np.zeros((len(a), len(b)), np.float64)
-    for at in range(0, len(every), step):
-        part = every[at : at + step]
-        sides = []
-        for sets in (a, b):
-            m = np.zeros((len(sets), len(part)), np.float32)
-            for i, s in enumerate(sets):
-                lo, hi = np.searchsorted(s, [part[0], part[-1] + np.uint64(1)]) if part[-1] != np.iinfo(np.uint64).max else (np.searchsorted(s, part[0]), len(s))
-                s = s[lo:hi]
-                pos = np.searchsorted(part, s)
-                pos[pos == len(part)] = 0
-                m[i, pos[part[pos] == s]] = 1
-            sides.append(m)
-        out += sides[0] @ sides[1].T
+    for r in range(n):
+        la, lb = ([s[c[r] : c[r + 1]] for s, c in zip(sets, cs, strict=True)] for sets, cs in zip((a, b), cuts, strict=True))
+        every, count = np.unique(np.concatenate(la + lb), return_counts=True)
+        every = every[count > 1]
+        for at in range(0, len(every), step):
+            part = every[at : at + step]
+            out += _holds(la, part) @ _holds(lb, part).T
     return out
 
 
+def _holds(sets: list[np.ndarray], part: np.ndarray) -> np.ndarray:
+    """A row for each set: 1 for the elements of ``part`` that it has."""
+    m = np.zeros((len(sets), len(part)), np.float32)
+    for i, s in enumerate(sets):
+        s = s[np.searchsorted(s, part[0]) : np.searchsorted(s, part[-1], side="right")]
+        pos = np.searchsorted(part, s)
+        m[i, pos[part[pos] == s]] = 1
+    return m
+
+
 def links(sets: list[np.ndarray], sigs: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
     """Pairs (i, j), i in left and j in right, with 100 * intersection >= percent * union."""
     may = estimate(sigs[left], sigs[right]) >= percent / 100 - MARGIN
@@ -143,22 +156,22 @@ def forest(ids: np.ndarray, pairs: np.ndarray) -> list[tuple[int, int]]:
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of ``docs``."""
     bands = bands_for(percent)
-    docs = docs.select("doc_id", "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
-    def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = Sketch(k, bands)
-        for b in batches:
+        for b in (p for whole in batches for p in parts(whole)):
             n, one, two, bh = [], [], [], []
-            for t in b["text"]:
-                x = s.set(t)
+            for x in s.sets(b):
                 raw = x.tobytes()
                 n.append(len(x))
                 one.append(xxhash.xxh3_64_intdigest(raw) - 2**63)
                 two.append(xxhash.xxh3_64_intdigest(raw, seed=1) - 2**63)
                 bh.append(s.band_hashes(s.minima(x)) if len(x) else None)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n": n, "h1": one, "h2": two, "bands": bh})
+            cols = [*(pa.array(c, pa.int64()) for c in (n, one, two)), pa.array(bh, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *cols], ["doc_id", "n", "h1", "h2", "bands"])
 
-    rows = cut(docs.mapInPandas(sketch, "doc_id long, n long, h1 long, h2 long, bands array<long>"), "sketch")
+    rows = cut(docs.mapInArrow(sketch, "doc_id long, n long, h1 long, h2 long, bands array<long>"), "sketch")
     with_set = rows.where("n > 0 and doc_id is not null")
     classes = cut(with_set.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep")), "classes")
     # A class's bands come from its representative's row.
@@ -186,12 +199,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 def _confirmed(docs: DataFrame, member: DataFrame, n_members: int, k: int, bands: int, percent: int) -> DataFrame:
     """Confirmed links (u, v) within families."""
     bins = max(1, n_members // 128)
+    names = ["rep", "family", "blocks", "items", "sig"]
 
-    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = Sketch(k, bands)
-        for b in batches:
-            xs = [s.set(t) for t in b["text"]]
-            yield pd.DataFrame({"rep": b["rep"], "family": b["family"], "blocks": b["blocks"], "items": [x.view(np.int64) for x in xs], "sig": [s.packed(s.minima(x)) for x in xs]})
+        for b in (p for whole in batches for p in parts(whole)):
+            xs = list(s.sets(b))
+            items = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, xs)]), pa.int32()), pa.array(np.concatenate(xs).view(np.int64)))
+            sig = pa.array([s.packed(s.minima(x)) for x in xs], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(c) for c in names[:3]] + [items, sig], names)
 
     def confirm(g: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -208,7 +224,7 @@ def _confirmed(docs: DataFrame, member: DataFrame, n_members: int, k: int, bands
         return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
 
     chosen = docs.join(small(member), F.col("doc_id") == F.col("rep")).select("rep", "family", "blocks", "text")
-    full = chosen.mapInPandas(sets, "rep long, family long, blocks int, items array<long>, sig binary")
+    full = chosen.mapInArrow(sets, "rep long, family long, blocks int, items array<long>, sig binary")
     block = F.pmod(F.xxhash64("rep", F.lit(SEED)), F.col("blocks")).cast("int")
     full = full.withColumn("block", block).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     full = full.withColumn("i", F.least("block", "o")).withColumn("j", F.greatest("block", "o"))
