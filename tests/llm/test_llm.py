@@ -7,12 +7,13 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from stratalog.llm import components, lang_id, licenses, mixing, near_dup, packing, quality, quotes, registry, secrets, simhash, warc
+from stratalog.llm import common, components, lang_id, licenses, mixing, near_dup, packing, quality, quotes, registry, secrets, simhash, warc
 from tests.parity import assert_equal
 
 SF = "/root/testdata/sf0.001"
@@ -86,6 +87,25 @@ def test_estimate_is_near_the_truth():
         assert abs(near_dup.estimate(*sig)[0, 0] - keep / (2000 - keep)) < 0.12
 
 
+def test_overlaps_in_ranges_equal_set_intersections():
+    rng = np.random.default_rng(1)
+    pool = np.concatenate([rng.integers(0, 2**64, 300, np.uint64), np.array([0, 2**63, 2**64 - 1], np.uint64)])
+    a, b = ([np.unique(rng.choice(pool, n)) for n in sizes] for sizes in ((1, 40, 200, 5), (0, 90, 300)))
+    want = [[len(set(x.tolist()) & set(y.tolist())) for y in b] for x in a]
+    for step, most in ((8192, 1 << 20), (7, 50), (1, 1), (64, 100)):
+        assert near_dup.overlaps(a, b, step, most).tolist() == want
+
+
+def test_slices_keep_all_rows_in_turn():
+    texts = ["a" * 10, None, "", "b" * 500, "c", None, "d" * 99, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array(texts)], ["doc_id", "text"])
+    for size in (1, 100, 10**6):
+        got = list(common.parts(batch, size=size))
+        assert sum((p.column("text").to_pylist() for p in got), []) == texts and all(len(p) for p in got)
+        assert all(len(p) == 1 or sum(len(t or "") for t in p.column("text").to_pylist()) <= size for p in got)
+    assert not list(common.parts(batch.slice(0, 0)))
+
+
 def test_language(spark, odd, none):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = lang_id.identify(d, "doc_id", "lang").withColumn("out", lang_id.held_out()).where("out").toPandas()
