@@ -1,8 +1,12 @@
 """License scans by sentence rules.
 
-A text's sentences are normalised (letters, digits, dots within numbers; one space; lower case) and mapped to
-identifiers of known licence sentences; the sequence of identifiers is matched against licence rules, in order, and
-what a rule has taken is not matched again. Sentences that speak of a licence but are not known are ``UNKNOWN``.
+A text's sentences are normalised (letters, digits, dots within numbers; one space; lower case) and searched for known
+licence sentences, of which one may hold several; the sequence of their identifiers is matched against licence rules,
+in order, and what a rule has taken is not matched again. Only ``.``, ``!``, ``?`` before white space and blank lines
+end a sentence: a line break is a space in a known sentence, and so are ``:`` and ``;``. An open sentence (``.*``)
+takes what follows up to the next known one, a named identifier (SPDX) the rest of its line, any other one its lines.
+Lines beside them, and sentences without a known one, are ``UNKNOWN`` if they speak of a licence, once for each part
+between ``:`` or ``;``.
 
 Null and empty texts have no sentences. Texts are read whole; those without a trigger word, which every known
 sentence holds, are not looked at further. One row for each row of the input.
@@ -49,21 +53,43 @@ RULES = [
     ("SPDX", "SPDX"),
 ]
 TRIGGER = re.compile(r"licen[sc]e|permission|copyright|redistribut|warrant|spdx|either version|neither the name|compliance", re.I)
-_END, _JUNK, _KNOWN = re.compile(r"[.;:!?]+(?=\s|$)|\n\s*\n|\n"), re.compile(r"[^0-9a-z.]+|\.(?![0-9])|(?<![0-9])\."), [(i, re.compile(p)) for i, p in SENTENCES]
+_END, _JUNK = re.compile(r"[.!?]+(?=\s|$)|\n\s*\n"), re.compile(r"[^0-9a-z.]+|\.(?![0-9])|(?<![0-9])\.")
+#: In a normalised sentence a line break stays one, and ":" or ";" before white space is a form feed: _BREAK.
+_BREAK = re.compile(r"[:;](?=\s)")
+_KNOWN = re.compile("|".join(f"(?P<{i}>{p.removesuffix('.*').replace(' ', '[ \\n\\f]+')})" for i, p in SENTENCES))
+_OPEN = {i for i, p in SENTENCES if p.endswith(".*") and i != "SPDX"}
 _MARKS, _SHOUT = re.compile(r"[#*$%&|<>]+"), re.compile(r"!!+(?=\s|$)")
 _RULES = [(name, re.compile("".join(f"(?:{s[:-1]} )?" if s.endswith("?") else f"{s} " for s in rule.split()))) for name, rule in RULES]
 
 
+def _space(m: re.Match) -> str:
+    return "\f" if _BREAK.search(m[0]) else "\n" if "\n" in m[0] else " "
+
+
+def _sentence(s: str) -> list[str]:
+    """Identifiers of a normalised sentence, in order."""
+    ids, at = [], 0
+
+    def beside(part: str) -> list[str]:
+        return ["UNKNOWN" for x in part.split("\f") if TRIGGER.search(x)]
+
+    for m in _KNOWN.finditer(s):
+        if m.start() >= at:
+            line = max(s.rfind("\n", at, m.start()), s.rfind("\f", at, m.start()))
+            ids += beside(s[at:line] if line >= 0 else "")
+        ids.append(m.lastgroup)
+        at = len(s) if m.lastgroup in _OPEN else next((i for i in range(m.end(), len(s)) if s[i] in "\n\f"), len(s))
+    return ids + beside(s[at:])
+
+
 def identify(text: str | None) -> tuple[list[str], list[str]]:
     """Identifiers of the sentences of a text, and the licences that its sequence of them means."""
     if not text or not TRIGGER.search(text):
         return [], []
     ids = []
     for s in _END.split(_SHOUT.sub("", _MARKS.sub(" ", text))):
-        if not TRIGGER.search(s):
-            continue
-        s = _JUNK.sub(" ", s.lower()).strip()
-        ids.append(next((i for i, p in _KNOWN if p.fullmatch(s)), None) or next((i for i, p in _KNOWN if p.search(s)), "UNKNOWN"))
+        if TRIGGER.search(s):
+            ids += _sentence(_JUNK.sub(_space, s.lower()).strip())
     sequence, found = "".join(f"{i} " for i in ids), []
     for name, rule in _RULES:
         # at the start of an identifier only

@@ -284,3 +284,60 @@ def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     assert set(got["doc_id"]) <= {r[0] for r in docs.select("doc_id").collect()}
     assert set(registry.ORACLE_SQL) <= set(registry.QUERIES) and len(registry.QUERIES) == 10
+
+
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY.
+"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its contributors
+   may be used to endorse or promote products derived from this software.
+"""
+GPL = """This program is free software{} you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation{} either version {} of the License, or
+(at your option) any later version.
+"""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS.
+"""
+
+
+def test_licenses_of_wrapped_headers():
+    headers = [
+        (MIT, "MIT"), (BSD, "BSD-3-Clause"), (BSD[: BSD.index("3.")], "BSD-2-Clause"), (GPL.format(":", ",", 3), "GPL-3.0-or-later"), (GPL.format(";", ";", 2), "GPL-2.0-or-later"), (APACHE, "Apache-2.0"), ("SPDX-License-Identifier: MIT\n", "SPDX"),
+    ]
+    for text, want in headers:
+        for mark in ("", "# ", "// ", " * "):
+            t = "".join(f"{mark}{line}\n" for line in text.split("\n"))
+            for end in ("\n", "\r\n"):
+                assert licenses.identify("Copyright (c) 2020 A. Person\n\n" + t.replace("\n", end))[1] == [want], t
+        assert licenses.identify(" ".join(text.split()))[1] == [want]
+    assert licenses.identify("SPDX-License-Identifier: LicenseRef-X\nimport os\nA strange\nlicence") == (["SPDX", "UNKNOWN"], ["SPDX"])
+    lines = "Some licence\nLicensed under CC BY 4.0\nReleased under the MIT License\nan odd warranty"
+    assert licenses.identify(lines) == (["UNKNOWN", "CCBY", "MITRef", "UNKNOWN"], ["CC-BY-4.0", "MIT"])
