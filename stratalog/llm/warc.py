@@ -3,13 +3,15 @@
 Writing: of pages with equal payloads of at least ``min_bytes`` bytes the one with the largest page_id is a response,
 the others are revisits of it. A record is one line of the text writer: its line end closes the record.
 
-Reading: for each block of a file a task emits, for every place that looks like a record's start, the offset to which
-the record's length leads. Within a block the chains are followed at once; what remains, one row for each block that a
+Reading: for each block of a file a task emits, for every place that looks like a record's start (the file's, or after
+a blank line, with which every record ends), the offset to which the record's length leads. A header may be of any
+length. Within a block the chains are followed at once; what remains, one row for each block that a
 chain enters, is joined up by pointer jumping from the file's start, doubling the distance each round. Only records on
 the chain from the start are kept: a magic string within a payload is on no chain.
 
 Null payloads are empty. Null page ids are written and read as null; among equal payloads they come before every id.
-An archive may be cut off: the chain ends at its last whole record. Files are read whole by a task, so the writer
+A chain that ends before the end of its file is an error; of archives that may be cut off (``whole=False``) the records
+up to there are read. Files are read whole by a task, so the writer
 limits the records in a file; ``block`` bounds what the chain rounds work on, not memory.
 """
 from __future__ import annotations
@@ -66,7 +68,7 @@ def write(recs: DataFrame, path: str) -> None:
 
 def _header(data: bytes, at: int) -> tuple[dict[str, str], int, int] | None:
     """Fields, start of the payload and offset of the next record; None where there is no whole record."""
-    end = data.find(b"\r\n\r\n", at, at + 65536)
+    end = data.find(b"\r\n\r\n", at)
     if end < 0:
         return None
     fields = {}
@@ -82,6 +84,14 @@ def _header(data: bytes, at: int) -> tuple[dict[str, str], int, int] | None:
     return (fields, end + 4, after + 4) if data[after : after + 4] == b"\r\n\r\n" else None
 
 
+def _start(data: bytes, at: int) -> int:
+    """The first place from ``at`` on where a record may start; -1 if there is none. Headers of two don't overlap."""
+    if not at and data.startswith(MAGIC):
+        return 0
+    found = data.find(b"\r\n\r\n" + MAGIC, max(0, at - 4))
+    return found + 4 if found >= 0 else -1
+
+
 def _page(name: str | None) -> int | None:
     x = (name or "").removeprefix("<urn:page:").removesuffix(">")
     return int(x) if x.lstrip("-").isdigit() else None
@@ -93,7 +103,7 @@ def candidates(path: str, spark, block: int = BLOCK) -> DataFrame:
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for file, data in zip(b["path"], b["content"], strict=True):
-                out, at = [], data.find(MAGIC)
+                out, at = [], _start(data, 0)
                 while at >= 0:
                     if (h := _header(data, at)) is not None:
                         f, body, nxt = h
@@ -103,15 +113,14 @@ def candidates(path: str, spark, block: int = BLOCK) -> DataFrame:
                         digest = base64.b32encode(hashlib.sha1(payload).digest()).decode() if kind == "response" else f.get("warc-payload-digest", "").removeprefix("sha1:")
                         said = f.get("warc-payload-digest", "").removeprefix("sha1:")
                         out.append((file, at, nxt, _page(f.get("warc-record-id")), n, digest, kind, _page(f.get("warc-refers-to")), digest == said))
-                    at = data.find(MAGIC, at + 1)
+                    at = _start(data, at + 1)
                 # Within a block a chain is followed at once, from its last record on: the exit is the first offset outside.
                 exits, there = {}, {r[1] for r in out}
                 for r in reversed(out):
                     exits[r[1]] = exits[r[2]] if r[2] in there and r[2] // block == r[1] // block else r[2]
                 yield pd.DataFrame([(*r, exits[r[1]]) for r in out], columns=["file", "at", "next", "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact", "exit"]).astype({"page_id": "Int64", "refers_to": "Int64", "payload_bytes": "Int64"})
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
-    return files.mapInPandas(scan, "file string, at long, next long, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, intact boolean, exit long")
+    return _files(path, spark).select("path", "content").mapInPandas(scan, "file string, at long, next long, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, intact boolean, exit long")
 
 
 def reachable(entries: DataFrame, rounds: int = 64) -> DataFrame:
@@ -131,8 +140,12 @@ def reachable(entries: DataFrame, rounds: int = 64) -> DataFrame:
     return known
 
 
-def read(path: str, spark, block: int = BLOCK) -> DataFrame:
-    """The records on the chain from each file's start."""
+def _files(path: str, spark) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+
+
+def read(path: str, spark, block: int = BLOCK, whole: bool = True) -> DataFrame:
+    """The records on the chain from each file's start; with ``whole``, a chain that ends before its file is an error."""
     c = cut(candidates(path, spark, block), "candidates")
     # A chain enters a block at the exit of another one, or at the file's start.
     into = c.select("file", F.col("exit").alias("at")).distinct()
@@ -140,7 +153,12 @@ def read(path: str, spark, block: int = BLOCK) -> DataFrame:
     from_start = reachable(entry.select("file", "at", "exit").distinct())
     # Within a block every record after the entry and on its chain has the same exit and follows the entry; a stray
     # one with the same exit would have to lead into the chain, and is told apart by who precedes whom.
-    e = from_start.join(entry.select("file", "at", "exit").distinct(), ["file", "at"]).select("file", F.col("at").alias("_e"), F.col("exit").alias("_x"))
+    e = cut(from_start.join(entry.select("file", "at", "exit").distinct(), ["file", "at"]).select("file", F.col("at").alias("_e"), F.col("exit").alias("_x")), "entries")
+    if whole:
+        ends = e.groupBy(F.col("file").alias("path")).agg(F.max("_x").alias("end"))
+        short = _files(path, spark).select("path", "length").join(ends, "path", "left").withColumn("end", F.coalesce("end", F.lit(0)))
+        if bad := short.where("end <> length").select("path", "end", "length").take(3):
+            raise ValueError("; ".join(f"no whole record at byte {x['end']} of {x['length']} of {x['path']}" for x in bad))
     same = c.join(e, (c["file"] == e["file"]) & (c["exit"] == e["_x"]) & (c["at"] >= e["_e"]) & (F.floor(c["at"] / block) == F.floor(e["_e"] / block))).drop(e["file"])
 
     def chain(g: pd.DataFrame) -> pd.DataFrame:

@@ -341,3 +341,20 @@ def test_licenses_of_wrapped_headers():
     assert licenses.identify("SPDX-License-Identifier: LicenseRef-X\nimport os\nA strange\nlicence") == (["SPDX", "UNKNOWN"], ["SPDX"])
     lines = "Some licence\nLicensed under CC BY 4.0\nReleased under the MIT License\nan odd warranty"
     assert licenses.identify(lines) == (["UNKNOWN", "CCBY", "MITRef", "UNKNOWN"], ["CC-BY-4.0", "MIT"])
+
+
+def test_warc_long_headers_and_broken_chains(spark, tmp_path):
+    urls = {i: "data:," + "x" * (200_000 if i == 20 else 10) for i in range(40)}
+    pages = spark.createDataFrame([(i, u, f"<p>{i}</p>\r\n\r\nWARC/1.0\r\na: b\r\n" * 3) for i, u in urls.items()], "page_id long, url string, html string").coalesce(1)
+    warc.write(pages.transform(warc.records).coalesce(1), str(tmp_path / "w"))
+    for block in (1000, 1 << 20):
+        got = warc.read(str(tmp_path / "w"), spark, block).toPandas()
+        assert sorted(got["page_id"]) == list(urls) and got["intact"].all()
+    file = next((tmp_path / "w").glob("part-*"))
+    data = file.read_bytes()
+    (tmp_path / "broken").mkdir()
+    for bad, n in ((data[:-100], 39), (re.sub(rb"\r\nContent-Length: \d+", b"\\r\\nContent-Length: 1", data, count=1), 0), (b"x" + data, 0)):
+        (tmp_path / "broken/part-0").write_bytes(bad)
+        with pytest.raises(ValueError, match="no whole record"):
+            warc.read(str(tmp_path / "broken"), spark)
+        assert warc.read(str(tmp_path / "broken"), spark, whole=False).count() == n
