@@ -1,7 +1,8 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest. DataFrame functions only.
 
 A candidate is a run of at least 16 token characters with a digit in it. Features: its length and character mix, its
-character transitions, how much of it dictionary words cover, what its path says, and the neighbouring words. The
+character transitions, how much of it dictionary words cover, what its path says, and the neighbouring words: those in
+the BEFORE characters before it and the AFTER characters behind it, whatever lies between. The
 forest is trained from labelled findings (columns candidate, before, after, path, label): the caller's, or those that
 ``labelled_findings`` generates from public secret and non-secret formats; at most ``MAX_FINDINGS`` are used.
 
@@ -20,6 +21,8 @@ from stratalog.llm.common import small
 from stratalog.plans.scratch import cut
 
 MAX_FINDINGS, TREES, DEPTH, SEED = 20_000, 20, 6, 11
+#: Characters of the text before and after a candidate.
+BEFORE, AFTER = 48, 24
 CANDIDATE = r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*[0-9])[A-Za-z0-9+/_\-]{16,}+={0,2}"
 #: Words of identifiers and prose that a random string doesn't hold.
 DICTIONARY = "access account address admin application article build cache class client code commit config content count data date default dev document error event example field file format function group handler hash header image index info item key language level library line link list local login main message method model module name network node number object option order page path user password point policy private process production profile project public query release report request resource result role root sample schema search secret section server service session source stage start state status system table task temp test text time title token type update upload url value version video view window with work year your".split()
@@ -27,8 +30,9 @@ DICTIONARY = "access account address admin application article build cache class
 PAIRS = "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le".split()
 KEYWORDS = r"(?i)(token|secret|passw(or)?d|passwd|pwd|api[_-]?key|apikey|access[_-]?key|private[_-]?key|auth|bearer|credential)"
 BENIGN = r"(?i)(sha-?1|sha-?256|md5|checksum|digest|commit|revision|uuid|guid|etag|integrity|example|sample|build|card|phone|order|isbn|id)\W*$"
+BENIGN_AFTER = r"(?i)\b(sha-?1|sha-?256|md5|checksum|digest|commit|revision|uuid|guid|etag|example|sample|build|order)"
 PLACEHOLDER = r"(?i)(example|sample|dummy|placeholder|changeme|your|xxxx|0000|1234567|abcdef)"
-FEATURES = ["f_len", "f_digit", "f_upper", "f_lower", "f_switch", "f_pairs", "f_words", "f_hex", "f_digits_only", "f_placeholder", "f_path_test", "f_path_conf", "f_key", "f_benign", "f_assign", "f_quote"]
+FEATURES = ["f_len", "f_digit", "f_upper", "f_lower", "f_switch", "f_pairs", "f_words", "f_hex", "f_digits_only", "f_placeholder", "f_path_test", "f_path_conf", "f_key", "f_benign", "f_assign", "f_quote", "f_key_after", "f_benign_after", "f_named"]
 
 
 def _share(pattern: str, c: Column) -> Column:
@@ -37,7 +41,7 @@ def _share(pattern: str, c: Column) -> Column:
 
 def features(f: DataFrame) -> DataFrame:
     """``f`` (candidate, before, after, path) with the FEATURES columns, all doubles."""
-    c, before, path = F.col("candidate"), F.coalesce(F.col("before"), F.lit("")), F.lower(F.coalesce(F.col("path"), F.lit("")))
+    c, before, after, path = F.col("candidate"), F.coalesce(F.col("before"), F.lit("")), F.coalesce(F.col("after"), F.lit("")), F.lower(F.coalesce(F.col("path"), F.lit("")))
     lone = F.lower(c)
     cols = {
         "f_len": F.least(F.length(c), F.lit(256)),
@@ -57,6 +61,10 @@ def features(f: DataFrame) -> DataFrame:
         "f_benign": before.rlike(BENIGN) | before.rlike(r"(?i)(sha-?1|sha-?256|md5|checksum|digest|commit|revision|uuid)"),
         "f_assign": before.rlike(r"[=:]\s*[\"']?$"),
         "f_quote": before.rlike("[\"']$"),
+        "f_key_after": after.rlike(KEYWORDS),
+        "f_benign_after": after.rlike(BENIGN_AFTER),
+        # a name to which something is assigned
+        "f_named": after.rlike(r"^[\"']?\s*:?=(?!=)|^[\"']?:\s"),
     }
     return f.withColumns({n: F.coalesce(v.cast("double"), F.lit(0.0)) for n, v in cols.items()})
 
@@ -75,7 +83,7 @@ def labelled_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
     tests, plain = path("tests/test_auth.py", "examples/demo.py", "docs/sample.md"), F.concat(word("w"), F.lit(" "), word("z"), F.lit(" "))
     quote = F.when(i % 2 == 0, '"').otherwise("")
     key = lambda s: F.concat(word("k"), F.lit(f" {s}"), quote)
-    kinds = [  # candidate, before, path, label
+    kinds = [  # candidate, before, path, label, after if it isn't the quote
         (hex40, key("token = "), anywhere, 1), (hex40, key("TOKEN = "), anywhere, 1), (b64, key("secret: "), anywhere, 1),
         (F.concat(F.lit("AKIA"), up), key("access_key = "), anywhere, 1), (F.concat(F.lit("ghp_"), F.substring(b64, 1, 36)), key("auth: "), anywhere, 1),
         (F.substring(b64, 1, 24), key("password="), anywhere, 1), (hex64, key("api_key: "), anywhere, 1), (F.substring(hex40, 1, 32), key("apikey="), anywhere, 1),
@@ -84,9 +92,13 @@ def labelled_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
         (F.concat(word("a"), F.lit("_"), word("b"), F.lit("_"), word("c"), i), plain, anywhere, 0), (F.concat(F.lit("/"), word("a"), F.lit("/"), word("b"), F.lit("/v2/"), word("c")), key("path = "), anywhere, 0),
         (F.concat(F.lit("your_token_example_"), i), key("token = "), tests, 0), (F.concat(F.lit("xxxxxxxx1234567"), i), key("password="), tests, 0),
         (F.concat(F.lit("2024-01-0"), i % 9, F.lit("T10-00-00Z")), plain, anywhere, 0), (hex40, plain, anywhere, 0),
+        (hex40, plain, anywhere, 1, " is the api token"), (F.substring(b64, 1, 24), plain, anywhere, 1, " as password for it"), (hex40, plain, anywhere, 0, " is the commit"), (hex64, plain, anywhere, 0, " (sha256 checksum)"),
+        (F.substring(b64, 1, 28), F.concat(key("token = "), F.substring(hex40, 1, 20), F.lit(".")), anywhere, 1), (b64, F.concat(F.lit("AWS_SECRET_ACCESS_KEY_"), i % 10, F.lit(" = "), quote), anywhere, 1),
+        (F.concat(F.upper(word("a")), F.lit("_SECRET_ACCESS_KEY_"), i % 10), plain, anywhere, 0, ' = "'),
     ]
+    kinds = [(*k, quote)[:5] for k in kinds]
     pick = lambda at: F.element_at(F.array(*[k[at] if isinstance(k[at], Column) else F.lit(k[at]) for k in kinds]), (i % len(kinds) + 1).cast("int"))
-    return spark.range(0, n, 1, 4).select(pick(0).alias("candidate"), pick(1).alias("before"), quote.alias("after"), pick(2).alias("path"), pick(3).cast("double").alias("label"))
+    return spark.range(0, n, 1, 4).select(pick(0).alias("candidate"), pick(1).alias("before"), pick(4).alias("after"), pick(2).alias("path"), pick(3).cast("double").alias("label"))
 
 
 def train(findings: DataFrame) -> RandomForestClassificationModel:
@@ -102,11 +114,15 @@ def candidates(docs: DataFrame, text: str = "text", path: str = "source") -> Dat
     d = d.withColumn("row", F.monotonically_increasing_id())
     d = d.select("doc_id", "path", "row", F.regexp_extract_all("t", F.lit(CANDIDATE), F.lit(0)).alias("found"), F.split("t", CANDIDATE, -1).alias("gaps"))
     d = d.select("doc_id", "path", "row", F.posexplode(F.arrays_zip(F.concat("found", F.array(F.lit(""))).alias("c"), F.col("gaps").alias("g"))).alias("at", "x"))
-    head = F.substring("x.g", 1, 24)
-    d = d.select("doc_id", "path", "row", "at", F.col("x.c").alias("candidate"), F.length("x.g").cast("long").alias("gap"), F.expr("right(x.g, 48)").alias("before"), head.alias("head"))
+    near, head = F.right(F.col("x.g"), F.lit(BEFORE)), F.substring(F.concat(F.substring("x.g", 1, AFTER), "x.c"), 1, AFTER)
+    tail = F.right(F.concat(near, "x.c"), F.lit(BEFORE))
+    d = d.select("doc_id", "path", "row", "at", F.col("x.c").alias("candidate"), F.length("x.g").cast("long").alias("gap"), near.alias("near"), head.alias("head"), tail.alias("tail"))
     w = Window.partitionBy("row").orderBy("at")
     past = F.sum(F.col("gap") + F.length("candidate")).over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.length("candidate")
-    d = d.withColumn("start", past.cast("long")).withColumn("after", F.lead("head").over(w))
+    d = d.withColumn("start", past.cast("long"))
+    # A candidate and the gap before it have a character at least, so that so many neighbours hold BEFORE and AFTER of them.
+    d = d.withColumn("before", F.right(F.concat(F.array_join(F.collect_list("tail").over(w.rowsBetween(-BEFORE, -1)), ""), "near"), F.lit(BEFORE)))
+    d = d.withColumn("after", F.substring(F.array_join(F.collect_list("head").over(w.rowsBetween(1, AFTER)), ""), 1, AFTER))
     return d.where("candidate <> ''").select("doc_id", "path", "start", F.length("candidate").cast("long").alias("length"), "candidate", "before", "after")
 
 

@@ -358,3 +358,22 @@ def test_warc_long_headers_and_broken_chains(spark, tmp_path):
         with pytest.raises(ValueError, match="no whole record"):
             warc.read(str(tmp_path / "broken"), spark)
         assert warc.read(str(tmp_path / "broken"), spark, whole=False).count() == n
+
+
+B64 = "Zk3vQ9xT1bLr7WmPc5Nd8Ys2"
+
+
+def test_words_around_candidates(spark):
+    texts = [
+        f'AWS_SECRET_ACCESS_KEY_2 = "{B64}{B64[::-1]}"', f"token = {B64}.{B64[::-1]}.{B64[5:]}{B64[:5]} and so on", f"{B64} {B64[1:]} {B64[2:]} {B64[3:]} {B64[4:]}", f"{B64[3:]}x is the api token",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("source", F.lit("src0"))
+    got = secrets.candidates(docs).collect()
+    assert len(got) == 2 + 3 + 5 + 1
+    for r in got:
+        t, end = texts[r["doc_id"]], r["start"] + r["length"]
+        assert (r["before"], r["candidate"], r["after"]) == (t[max(0, r["start"] - 48) : r["start"]], t[r["start"] : end], t[end : end + 24])
+    model = secrets.train(secrets.labelled_findings(spark))
+    found = {(r["doc_id"], r["start"]): r["is_secret"] for r in secrets.scan(docs, model).collect()}
+    assert found[0, texts[0].index(B64)] and all(v for (i, _), v in found.items() if i in (1, 3))
+    assert not found.get((0, 0), False)
