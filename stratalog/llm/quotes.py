@@ -2,7 +2,9 @@
 
 Lines that begin with ``>`` marks are quotes; their number of marks is the level. A run of lines of one level is a
 passage. Passages are normalised (one space, lower case) and hashed, and joined to the messages that say the same
-outside quotes: as a whole, or in one paragraph. An original comes before its quotation: the match is with the least
+outside quotes: as a whole, in one line, in one paragraph (between blank lines) or in one block between quotes. What is
+left, passages of two or more lines, is joined by the hashes of its first two and kept where all its lines follow one another
+in the message, blank ones aside. An original comes before its quotation: the match is with the least
 message (conv_id, turn) of the hash, in the quoting conversation if it is there, and only if it is before the quoting
 message. A message replies to the original of its first linked level-1 passage. Threads are the trees of replies; their
 roots are found by pointer jumping. ``clean_text`` is the message without quotes.
@@ -23,6 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 from stratalog.plans.scratch import cut
 
 _QUOTE = re.compile(r"^[ \t]*((?:>[ \t]?)+)")
+_BLANK = re.compile(r"\n[^\S\n]*\n")
 ROUNDS = 64
 
 
@@ -31,15 +34,18 @@ def _hash(text: str) -> int | None:
     return xxhash.xxh3_64_intdigest(" ".join(words).encode("utf-8", "surrogatepass")) - 2**63 if words else None
 
 
-def parse(text: str | None) -> tuple[str, list[tuple[int, int]], list[int]]:
-    """Text without quotes, (level, hash) of each quoted passage, and hashes by which the message may be quoted."""
-    own, quoted, runs = [], [], []
+def parse(text: str | None) -> tuple[str, list[tuple[int, int]], list[int], list[list[int]], list[int]]:
+    """Text without quotes, (level, hash) of each quoted passage, hashes by which the message may be quoted, the line
+    hashes of each passage, and those of the text without quotes; blank lines have none."""
+    own, quoted, inner, runs = [], [], [], []
     for line in (text or "").split("\n"):
         m = _QUOTE.match(line)
         level, body = (m[1].count(">"), line[m.end() :]) if m else (0, line)
         if not level:
             own.append(line)
-            runs.append((0, []))
+            if not runs or runs[-1][0]:
+                runs.append((0, []))
+            runs[-1][1].append(line)
         else:
             if not runs or runs[-1][0] != level:
                 runs.append((level, []))
@@ -47,9 +53,13 @@ def parse(text: str | None) -> tuple[str, list[tuple[int, int]], list[int]]:
     for level, lines in runs:
         if level and (h := _hash(" ".join(lines))) is not None:
             quoted.append((level, h))
+            inner.append([x for line in lines if (x := _hash(line)) is not None])
     clean = re.sub(r"\n{3,}", "\n\n", "\n".join(own)).strip("\n")
-    says = {h for part in [clean, *clean.split("\n")] if (h := _hash(part)) is not None}
-    return clean, quoted, sorted(says)
+    blocks = ["\n".join(lines) for level, lines in runs if not level]
+    paragraphs = [p for block in blocks for p in _BLANK.split(block)]
+    lines = [h for line in clean.split("\n") if (h := _hash(line)) is not None]
+    says = {*lines, *(h for part in [clean, *blocks, *paragraphs] if (h := _hash(part)) is not None)}
+    return clean, quoted, sorted(says), inner, lines
 
 
 def link(messages: DataFrame) -> DataFrame:
@@ -58,15 +68,23 @@ def link(messages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             got = [parse(t) for t in b["text"]]
-            yield pd.DataFrame({"conv_id": b["conv_id"], "turn": b["turn"], "role": b["role"], "clean_text": [g[0] for g in got], "levels": [[x[0] for x in g[1]] for g in got], "hashes": [[x[1] for x in g[1]] for g in got], "says": [g[2] for g in got]})
+            yield pd.DataFrame({"conv_id": b["conv_id"], "turn": b["turn"], "role": b["role"], "clean_text": [g[0] for g in got], "levels": [[x[0] for x in g[1]] for g in got], "hashes": [[x[1] for x in g[1]] for g in got], "says": [g[2] for g in got], "inner": [g[3] for g in got], "lines": [g[4] for g in got]})
 
     m = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), "text")
-    m = cut(m.mapInPandas(run, "conv_id long, turn long, role string, clean_text string, levels array<int>, hashes array<long>, says array<long>"), "messages")
+    m = cut(m.mapInPandas(run, "conv_id long, turn long, role string, clean_text string, levels array<int>, hashes array<long>, says array<long>, inner array<array<long>>, lines array<long>"), "messages")
     whole = m.where("conv_id is not null and turn is not null")
-    passages = cut(whole.where("size(hashes) > 0").select("conv_id", "turn", F.posexplode(F.arrays_zip("levels", "hashes")).alias("at", "q")).select("conv_id", "turn", "at", F.col("q.levels").alias("level"), F.col("q.hashes").alias("hash")), "passages")
+    passages = cut(whole.where("size(hashes) > 0").select("conv_id", "turn", F.posexplode(F.arrays_zip("levels", "hashes", "inner")).alias("at", "q")).select("conv_id", "turn", "at", F.col("q.levels").alias("level"), F.col("q.hashes").alias("hash"), F.col("q.inner").alias("inner")), "passages")
     # One row a hash: passages that many messages share meet one original each.
     asked = passages.select("hash").distinct()
     said = whole.select("conv_id", "turn", F.explode("says").alias("hash")).join(asked, "hash", "left_semi")
+    # Runs of lines: one row a different passage and place of its first two lines, then one a message that has all of them.
+    many = passages.where("size(inner) > 1").select("hash", "inner").distinct().select("hash", "inner", F.col("inner")[0].alias("l0"), F.col("inner")[1].alias("l1"))
+    places = whole.where("size(lines) > 1").select("conv_id", "turn", "lines", F.posexplode("lines").alias("_i", "l0")).withColumn("l1", F.get("lines", F.col("_i") + 1))
+    heads = many.select("l0", "l1").distinct()
+    places = places.join(heads, ["l0", "l1"], "left_semi")
+    run_of = F.slice("lines", F.col("_i") + 1, F.size("inner")) == F.col("inner")
+    runs = places.join(many, ["l0", "l1"]).where(run_of).select("conv_id", "turn", "hash")
+    said = cut(said.select("conv_id", "turn", "hash").unionByName(runs).distinct(), "said")
     here = said.groupBy("hash", "conv_id").agg(F.min("turn").alias("h_turn"))
     first = said.groupBy("hash").agg(F.min(F.struct("conv_id", "turn")).alias("o"))
     j = passages.join(here, ["hash", "conv_id"], "left").join(first, "hash", "left")

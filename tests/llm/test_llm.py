@@ -391,3 +391,14 @@ def test_secrets_by_context_and_prefix(spark):
     out = {i: t for i, t, _ in got if t != "another text"}
     want = [a.format("[SECRET]") for a, _ in secret] + benign + ['pwd = "[SECRET]" a7!Kq, not a [SECRET] and [SECRET]']
     assert [out[i] for i in range(len(want))] == want
+
+
+def test_quotes_of_several_lines(spark):
+    first = "One line here\nwrapped to two.\n\nA second part\n  of Three\nlines. It ends.\n\nLast part"
+    parts = ["One line here\nwrapped to two.", "A second part\nof three", "of three\nlines. It ends.", "lines. It ends.\n\nLast part", "one line here wrapped\nto two."]
+    rows = [(1, 0, "u", first)] + [(1, k, "a", "".join(f"> {x}\n" for x in p.split("\n")) + f"reply {k}") for k, p in enumerate(parts, 1)]
+    rows += [(1, 6, "a", "> One line here\n> of three\nno run"), (2, 0, "u", "> what\nown block of\ntwo lines\n> more\nelse\nmore"), (2, 1, "a", "> own block of two\n> lines\nyes")]
+    got = {(r["conv_id"], r["turn"]): r for r in quotes.link(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")).collect()}
+    assert [(got[1, k]["n_linked"], got[1, k]["reply_turn"], got[1, k]["thread_turn"]) for k in range(1, 6)] == [(1, 0, 0)] * 5
+    assert got[1, 6]["n_linked"] == 0 and got[2, 0]["n_linked"] == 0
+    assert (got[2, 1]["n_linked"], got[2, 1]["reply_conv"], got[2, 1]["reply_turn"]) == (1, 2, 0)
