@@ -233,12 +233,15 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 #: Below this cosine no known language's profile describes the text.
 MIN_SCORE = 0.2
+#: With fewer letters the cosine says too little: so few trigrams of a language come near its profile by chance only.
+MIN_LETTERS = 64
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents of which no language is recognised; the others stay as they are."""
+    """Drops the documents of which no language is recognised; the others, and short ones with a letter, stay as they are."""
     cols = ["doc_id", "text", "lang", "source", "n_chars"]
     kept = docs.select(*cols)
     prototypes = learn(kept.where(~held_out()))
     scored = predict(kept, prototypes, *cols)
-    return scored.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE)).select(*cols)
+    short = F.regexp_count("text", F.lit(r"\p{L}")) < MIN_LETTERS
+    return scored.where((F.col("lang_pred") != "und") & ((F.col("score") >= MIN_SCORE) | short)).select(*cols)

@@ -402,3 +402,12 @@ def test_quotes_of_several_lines(spark):
     assert [(got[1, k]["n_linked"], got[1, k]["reply_turn"], got[1, k]["thread_turn"]) for k in range(1, 6)] == [(1, 0, 0)] * 5
     assert got[1, 6]["n_linked"] == 0 and got[2, 0]["n_linked"] == 0
     assert (got[2, 1]["n_linked"], got[2, 1]["reply_conv"], got[2, 1]["reply_turn"]) == (1, 2, 0)
+
+
+def test_language_stage_keeps_short_clean_texts(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    kept = {r["doc_id"]: r["text"] for r in lang_id.stage(spark, d, SF).collect()}
+    short = [r["doc_id"] for r in d.where("lang is not null").collect() if 0 < sum(c.isalpha() for c in r["text"] or "") < 64]
+    assert len(short) > 10 and set(short) <= set(kept) and {909, 974, 564, 34} <= set(kept)
+    odd = d.limit(0).unionByName(spark.createDataFrame([(10**6, "123 456 ... !!", "en", "a", 14), (10**6 + 1, "ЖЩЫЮ " * 200, "en", "a", 1000)], d.schema))
+    assert not {10**6, 10**6 + 1} & {r["doc_id"] for r in lang_id.stage(spark, d.unionByName(odd), SF).collect()}
