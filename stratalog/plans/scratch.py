@@ -13,9 +13,11 @@ from pyspark.sql.window import Window
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared scratch folder; a fresh local one only where the session names none (tests, one machine)."""
+    """The shared scratch folder. Where the session names none, a fresh local one, on one machine only."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that every executor can reach")
         base = "file://" + tempfile.mkdtemp(prefix="stratalog-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -25,7 +27,17 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write ``df`` to the scratch folder and read it back: computed once, recoverable, no lineage behind it."""
     path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that cut() wrote and nothing reads any more."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(t._scratch_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ranked(df: DataFrame, *order: str, rank: str = "i") -> DataFrame:
