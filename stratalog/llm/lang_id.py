@@ -11,17 +11,18 @@ from, every text is ``und``. Repeated rows are each counted and each returned. T
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from stratalog.llm.common import parts
+from stratalog.llm.common import parts, slim
+from stratalog.plans.scratch import cut, ranked
 
 DIM, N, SEED = 512, 3, 20260
-#: Languages up to which prototypes (4 KB each) may be sent to the driver and back.
-MAX_LANGS = 2000
+#: Languages (4 KB each) that a pass over the texts compares with; more of them take more passes.
+LANGS = 2000
 _PIECE = 1 << 20
 
 
@@ -64,7 +65,7 @@ def merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray,
     return k, c
 
 
-@cache
+@lru_cache(20_000)
 def _letter(cp: int) -> np.ndarray:
     bits = np.random.Generator(np.random.Philox(key=[SEED, cp])).integers(0, 2, DIM, dtype=np.int8)
     return bits * np.int8(2) - np.int8(1)
@@ -86,7 +87,7 @@ class Codebook:
     Bounded: with over ALPHABET letters or ROWS n-grams, the text at hand takes the plain way (ngrams, vectors).
     """
 
-    ALPHABET, ROWS = 127, 40_000
+    ALPHABET, ROWS, FRONT = 127, 40_000, 8192
 
     def __init__(self):
         self.letter = np.full(0x110000, -1, np.int32)
@@ -96,7 +97,9 @@ class Codebook:
         self.n_letters, self.n = 1, 0
         self.row = np.full(1 << 21, -1, np.int32)
         self.keys = np.zeros(self.ROWS, np.uint64)
-        self.matrix = np.zeros((0, DIM), np.float32)
+        # Small numbers, and the same as floats for the rows that most texts have.
+        self.matrix = np.zeros((0, DIM), np.int8)
+        self.front = np.zeros((0, DIM), np.float32)
 
     def rows(self, text: str | None) -> np.ndarray | None:
         """The row of each n-gram of the text in turn; None without a letter, or if there is no room."""
@@ -130,16 +133,22 @@ class Codebook:
         return r
 
     def encode(self, rows: list[np.ndarray]) -> np.ndarray:
-        """The vectors of texts given as rows."""
-        if len(self.matrix) < self.n:
-            self.matrix = np.concatenate([self.matrix, vectors(self.keys[len(self.matrix) : self.n]).astype(np.float32)])
-        if self.n > 8192:
+        """The vectors of texts given as rows. Sums of so few small numbers are whole in float32."""
+        if (have := len(self.matrix)) < self.n:
+            grown = np.empty((self.n, DIM), np.int8)
+            grown[:have] = self.matrix
+            for at in range(have, self.n, 4096):
+                grown[at : at + 4096] = vectors(self.keys[at : min(self.n, at + 4096)])
+            self.matrix = grown
+            if len(self.front) < self.FRONT:
+                self.front = grown[: self.FRONT].astype(np.float32)
+        if self.n > self.FRONT:
             out = np.empty((len(rows), DIM), np.float32)
             for i, r in enumerate(rows):
                 k, c = np.unique(r, return_counts=True)
-                out[i] = c.astype(np.float32) @ self.matrix[k]
+                out[i] = c.astype(np.float32) @ self.matrix[k].astype(np.float32)
             return out
-        return np.stack([np.bincount(r, minlength=self.n).astype(np.float32) for r in rows]) @ self.matrix[: self.n]
+        return np.stack([np.bincount(r, minlength=self.n).astype(np.float32) for r in rows]) @ self.front[: self.n]
 
 
 def exact(keys: np.ndarray, counts: np.ndarray, step: int = 4096) -> np.ndarray:
@@ -150,8 +159,10 @@ def exact(keys: np.ndarray, counts: np.ndarray, step: int = 4096) -> np.ndarray:
     return out
 
 
-def learn(docs: DataFrame) -> dict[str, np.ndarray]:
-    """Prototypes by language from columns text and lang. Each task sends one vector a language; Spark adds them up."""
+def learn(docs: DataFrame) -> DataFrame:
+    """Prototypes, a row for each language (i, lang, v), numbered by code point, from columns text and lang. Each task
+    sends one vector a language; Spark adds them up."""
+    slim(docs.sparkSession)
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         book = Codebook()
@@ -177,16 +188,26 @@ def learn(docs: DataFrame) -> dict[str, np.ndarray]:
         .select("lang", F.posexplode("v").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x"))
     )
     rows = sums.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("v"))  # DIM entries each
-    got = rows.limit(MAX_LANGS + 1).collect()
-    if len(got) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
-    return {r["lang"]: np.array([x["x"] for x in r["v"]], np.float64) for r in got}
+    return cut(ranked(rows.select("lang", F.col("v.x").alias("v")), "lang"), "prototypes")
 
 
-def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], *keep: str) -> DataFrame:
-    """``keep`` columns with ``lang_pred`` and ``score``. Only the text is looked at."""
-    names = sorted(prototypes)
-    matrix = np.stack([prototypes[n] for n in names]) if names else np.zeros((0, DIM))
+def predict(docs: DataFrame, prototypes: DataFrame, *keep: str) -> DataFrame:
+    """``keep`` columns with ``lang_pred`` and ``score``. Only the text is looked at. LANGS prototypes go to the tasks
+    at a time; where there are more, each pass improves on what the ones before have found."""
+    slim(docs.sparkSession)
+    text = F.col("text").cast("string").alias("text")
+    out = docs.select(*[text if c == "text" else F.col(c) for c in keep], *([] if "text" in keep else [text]))
+    total = prototypes.count()
+    for lo in range(0, max(1, total), LANGS):
+        some = prototypes.where(F.col("i").between(lo, lo + LANGS - 1)).orderBy("i").collect()
+        more = [] if lo + LANGS >= total and "text" not in keep else ["text"]
+        out = _compare(out, [r["lang"] for r in some], np.array([r["v"] for r in some], np.float64).reshape(-1, DIM), [*dict.fromkeys([*keep, *more])], lo > 0)
+        if lo + LANGS < total:
+            out = cut(out, "languages")
+    return out.select(*keep, "lang_pred", "score")
+
+
+def _compare(docs: DataFrame, names: list[str], matrix: np.ndarray, keep: list[str], again: bool) -> DataFrame:
     norms = np.linalg.norm(matrix, axis=1)
     matrix = matrix / np.where(norms > 0, norms, 1)[:, None]
 
@@ -195,25 +216,26 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], *keep: str) -> D
         for whole in batches:
             for b in parts(whole):
                 texts = b.column("text")
-                pred, best = ["und"] * len(b), [0.0] * len(b)
+                pred, best = (b.column(c).to_pylist() for c in ("lang_pred", "score")) if again else (["und"] * len(b), [0.0] * len(b))
                 for at in range(0, len(b), 64):
                     part = texts.slice(at, 64).to_pylist()
                     met = [(i, r) for i, t in enumerate(part, at) if names and (r := book.rows(t)) is not None]
                     vecs = [([i for i, _ in met], book.encode([r for _, r in met]))] if met else []
                     done = {i for i, _ in met}
-                    vecs += [([i], exact(*g)[None].astype(np.float64)) for i, t in enumerate(part, at) if names and i not in done and (g := ngrams(t)) is not None]
+                    vecs += [([i], exact(*g)[None]) for i, t in enumerate(part, at) if names and i not in done and (g := ngrams(t)) is not None]
                     for where, v in vecs:
+                        v = v.astype(np.float64)  # whole numbers either way, so that the path makes no difference
                         n = np.linalg.norm(v, axis=1)
-                        cos = (v @ matrix.T) / np.where(n > 0, n, 1)[:, None]
+                        cos = np.round((v @ matrix.T) / np.where(n > 0, n, 1)[:, None], 9)
                         for i, t, c in zip(where, cos.argmax(1), cos, strict=True):
-                            pred[i], best[i] = names[t], min(1.0, max(0.0, float(c[t])))
+                            x = min(1.0, max(0.0, float(c[t])))
+                            if pred[i] == "und" and not (again and best[i]) or x > best[i]:
+                                pred[i], best[i] = names[t], x
                 cols = [b.column(c) for c in keep] + [pa.array(pred, pa.string()), pa.array(best, pa.float64())]
                 yield pa.RecordBatch.from_arrays(cols, [*keep, "lang_pred", "score"])
 
-    text = F.col("text").cast("string").alias("text")
-    kept = docs.select(*[text if c == "text" else F.col(c) for c in keep], *([] if "text" in keep else [text]))
-    schema = ", ".join(f"`{c}` {kept.schema[c].dataType.simpleString()}" for c in keep)
-    return kept.mapInArrow(score, schema + ", lang_pred string, score double")
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return docs.mapInArrow(score, schema + ", lang_pred string, score double")
 
 
 def held_out():
