@@ -6,11 +6,12 @@ subset-sum over the lengths still available finds the fullest feasible combinati
 the counts allow. The n-th piece of a length takes the n-th place planned for that length: places are ranges of n, so
 the plan stays small (some 60 lengths by a few thousand combinations at most) at any number of pieces.
 
-Null and empty texts are one end token. Ties and repeated rows are told apart by their content; equal rows are
-interchangeable. Texts of any length are tokenized whole. ``doc_id`` may be null.
+Null and empty texts are one end token. Ties and repeated rows are told apart by a number that each piece gets when it
+is written. Texts of any length are tokenized whole. ``doc_id`` may be null. Other columns are not looked at.
 """
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -23,11 +24,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from stratalog.llm.common import parts, slim
 from stratalog.plans.scratch import cut
 
 LENGTH, END, TOKENIZER = 2048, 0, "word_bpe_49k.json"
 #: Chunks kept in a generation, and bytes of text to a call.
-_CACHE, _BYTES, _MARKS, _END = 200_000, 4 << 20, (b".", b","), np.uint32(END).astype("<u4").tobytes()
+_CACHE, _BYTES, _MARKS, _END = 60_000, 2 << 20, (b".", b","), np.uint32(END).astype("<u4").tobytes()
 
 
 def vocabulary_path() -> str:
@@ -36,10 +38,19 @@ def vocabulary_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def by_words(tokenizer: dict) -> bool:
+    """Whether a tokenizer, as in its file, lowers case, never joins over white space and marks the ends of words."""
+    kinds = [x["type"] for x in (tokenizer.get("normalizer") or {}).get("normalizers", [])]
+    cut_ = [x["type"] for x in (tokenizer.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+    spaced = any(" " in t["content"] or t["lstrip"] or t["rstrip"] for t in tokenizer.get("added_tokens") or [])
+    return kinds == ["NFC", "Replace", "Lowercase"] and cut_ == ["Split", "ByteLevel"] and tokenizer["model"].get("end_of_word_suffix") == "</w>" and not spaced
+
+
 class Ids:
-    """Token ids of a text. The tokenizer never joins over ASCII white space, so what lies between is encoded once and kept.
+    """Token ids of a text. Where the tokenizer never joins over ASCII white space (``by_words``), what lies between is
+    encoded once and kept; the texts of any other one are encoded as they are.
 
-    Two generations are kept, so that common words survive when the bound is met. The tokenizer lowers case, and ends a
+    Two generations are kept, so that common words survive when the bound is met. Such a tokenizer lowers case, and ends a
     word at punctuation: chunks are looked up in lower case, and unmet ones of ASCII without one last full stop or comma.
     """
 
@@ -49,6 +60,7 @@ class Ids:
         from tokenizers import Tokenizer
 
         self.tok, self.known, self.old = Tokenizer.from_file(path), {}, {}
+        self.words = by_words(json.loads(self.tok.to_str()))
         self.last = np.zeros(self.tok.get_vocab_size() + 1, bool)
         self.last[[i for t, i in self.tok.get_vocab().items() if t.endswith("</w>")]] = True
         self.batch = getattr(self.tok, "encode_batch_fast", self.tok.encode_batch)
@@ -97,6 +109,9 @@ class Ids:
         Chunks are split and numbered by Arrow; Python sees each distinct one of the call once.
         """
         texts = pc.fill_null(texts, "")
+        if not self.words:
+            ids = [np.array(e.ids, "<u4") for e in self.batch(texts.to_pylist(), add_special_tokens=False)]
+            return np.concatenate([np.zeros(0, "<u4"), *ids]), np.cumsum([0, *map(len, ids)])
         if not pc.any(pc.match_substring(texts, "<|")).as_py():  # else they may hold a special token, which has its case
             texts = pc.ascii_lower(texts)
         parts = pc.ascii_split_whitespace(texts)
@@ -125,24 +140,17 @@ def pieces(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = ids_of(path)
-        for b in batches:
-            size = np.cumsum(pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-            lo = 0
-            while lo < len(b):  # as many texts as have _BYTES together, one at least
-                hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + _BYTES, side="right")))
-                t, bounds = ids(b.column("text").slice(lo, hi - lo))
-                out = []
-                for i, (a, z) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True), lo):
-                    for p, at in enumerate(range(0, z - a + 1, LENGTH)):
-                        n = min(LENGTH, z - a + 1 - at)
-                        crc = zlib.crc32(t[a + at : min(z, a + at + n)])
-                        out.append((i, p, at, n, crc if a + at + n <= z else zlib.crc32(_END, crc)))
-                rows, piece, start, length, crc = map(list, zip(*out, strict=True))
-                cols = [b.column("doc_id").take(pa.array(rows)).cast(pa.int64()), pa.array(piece, pa.int32()), *(pa.array(c, pa.int64()) for c in (start, length, crc))]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "piece", "start", "length", "ids_crc32"])
-                del t, bounds, out, cols
-                pa.default_memory_pool().release_unused()  # the worker lives on, and other stages need the room
-                lo = hi
+        for b in (p for whole in batches for p in parts(whole, size=_BYTES)):
+            t, bounds = ids(b.column("text"))
+            out = []
+            for i, (a, z) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
+                for p, at in enumerate(range(0, z - a + 1, LENGTH)):
+                    n = min(LENGTH, z - a + 1 - at)
+                    crc = zlib.crc32(t[a + at : min(z, a + at + n)])
+                    out.append((i, p, at, n, crc if a + at + n <= z else zlib.crc32(_END, crc)))
+            rows, piece, start, length, crc = map(list, zip(*out, strict=True))
+            cols = [b.column("doc_id").take(pa.array(rows)).cast(pa.int64()), pa.array(piece, pa.int32()), *(pa.array(c, pa.int64()) for c in (start, length, crc))]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(tokenize, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
@@ -189,7 +197,9 @@ def plan(counts: dict[int, int], length: int = LENGTH) -> list[tuple[dict[int, i
 
 
 def pack(docs: DataFrame, path: str | None = None) -> DataFrame:
-    rows = cut(pieces(docs, path), "pieces")
+    slim(docs.sparkSession)
+    # Numbered as they are written, so that equal rows can be told apart.
+    rows = cut(pieces(docs, path).withColumn("row", F.monotonically_increasing_id()), "pieces")
     total = 0
     counts = {}
     for r in rows.groupBy("length").count().collect():  # at most LENGTH rows
@@ -221,11 +231,11 @@ def pack(docs: DataFrame, path: str | None = None) -> DataFrame:
     # The rank of a piece among those of its length: its place in a hash bucket, plus the buckets before. No bucket
     # is large, whatever the length's share of all pieces.
     buckets = max(256, min(1_000_000, total // 2000))
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(buckets)))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = rows.groupBy("bucket", "length").agg(F.count(F.lit(1)).alias("n"))
     base = base.select("bucket", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    inside = F.row_number().over(Window.partitionBy("bucket", "length").orderBy("doc_id", "piece", "ids_crc32")) - 1
+    inside = F.row_number().over(Window.partitionBy("bucket", "length").orderBy("row")) - 1
     ranked = rows.withColumn("inside", inside).join(base, ["bucket", "length"]).withColumn("rank", F.col("base") + F.col("inside"))
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank")
     return ranked.mapInPandas(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

@@ -49,33 +49,48 @@ def test_components(spark):
 def test_near_dup_equals_all_pairs(spark, odd, none):
     docs = real(spark).select("doc_id", "text").unionByName(odd.select("doc_id", "text").withColumn("doc_id", F.col("doc_id") + 10**6))
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    want = all_pairs(rows, 3, 85)
+    got = near_dup.near_duplicates(docs, 3, 85).collect()
+    assert len(got) == len(rows)
+    assert {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in got if r["doc_id"] is not None} == want
+    assert all(r["kept"] == (r["doc_id"] == r["component_id"] or r["doc_id"] is None) for r in got)
+    assert near_dup.near_duplicates(none).count() == 0
+
+
+def families(n=40, words=200):
+    """Texts that each differ from a base in a word of their own, so that all are near copies; and a chain of texts of which only neighbours are."""
+    base = [f"w{i}" for i in range(words)]
+    star = [(i, " ".join([*base[:i], f"x{i}", *base[i + 1 :]])) for i in range(n)]
+    chain = [(1000 + i, " ".join(f"c{j}" for j in range(i * 12, i * 12 + words))) for i in range(n)]
+    return star + chain
 
+
+def all_pairs(rows, k, percent):
+    """Components and set sizes by comparing every pair of texts."""
     def shingles(t):
         w = [re.sub("[A-Z]", lambda m: m[0].lower(), x) for x in re.findall(r"[^\x20\x09-\x0D]+", t or "")]
-        return {tuple(w[i : i + 3]) for i in range(len(w) - 2)} if len(w) > 2 else {tuple(w)} if w else set()
+        return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set()
 
-    sets = {i: shingles(t) for i, t in rows if i is not None}
-    top = {i: i for i in sets}
+    sets = [(i, shingles(t)) for i, t in rows if i is not None]
+    top = {i: i for i, _ in sets}
     root = lambda x: x if top[x] == x else root(top[x])
-    for a, b in itertools.combinations(sets, 2):
-        n = len(sets[a] & sets[b])
-        if n and 100 * n >= 85 * len(sets[a] | sets[b]):
-            x, y = sorted((root(a), root(b)))
+    for (i, a), (j, b) in itertools.combinations(sets, 2):
+        n = len(a & b)
+        if n and 100 * n >= percent * len(a | b):
+            x, y = sorted((root(i), root(j)))
             top[y] = x
-    got = near_dup.near_duplicates(docs, 3, 85).collect()
-    assert len(got) == len(rows)
-    assert {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in got if r["doc_id"] is not None} == {(i, len(s), root(i)) for i, s in sets.items()}
-    assert all(r["kept"] == (r["doc_id"] == r["component_id"] or r["doc_id"] is None) for r in got)
-    assert near_dup.near_duplicates(none).count() == 0
+    return {(i, len(s), root(i)) for i, s in sets}
 
 
-def test_large_family_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(near_dup, "MAX_BLOCK", 7)
-    monkeypatch.setattr(near_dup, "BLOCK", 7)
-    base = [f"w{i}" for i in range(200)]
-    rows = [(i, " ".join([*base[:i], f"x{i}", *base[i + 1 :]])) for i in range(40)]
+@pytest.mark.parametrize("limits", [(2048, 1 << 19), (5, 1000)])
+def test_large_groups_in_chunks(spark, monkeypatch, limits):
+    monkeypatch.setattr(near_dup, "SIGNATURES", limits[0])
+    monkeypatch.setattr(near_dup, "ITEMS", limits[1])
+    rows = families() + [(7, families()[50][1]), (2000, families()[5][1]), (2000, families()[5][1])]
     got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()
-    assert {r["component_id"] for r in got} == {0} and sum(r["kept"] for r in got) == 1
+    assert len(got) == len(rows)
+    want = all_pairs(rows, 3, 85)
+    assert {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in got} == want
 
 
 def test_estimate_is_near_the_truth():
@@ -83,8 +98,29 @@ def test_estimate_is_near_the_truth():
     x = np.arange(1000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     for keep in (900, 500, 0):
         y = np.concatenate([x[:keep], x[:1000 - keep] + np.uint64(1)])
-        sig = [np.frombuffer(s.packed(s.minima(np.unique(v))), np.uint8)[None] for v in (x, y)]
-        assert abs(near_dup.estimate(*sig)[0, 0] - keep / (2000 - keep)) < 0.12
+        sig = [s.packed(s.minima(np.unique(v)))[None] for v in (x, y)]
+        assert abs(near_dup.corrected(near_dup.differing(*sig)[0, 0], 300) - keep / (2000 - keep)) < 0.12
+
+
+def test_bits_of_frames_equal_bits_of_arrays(spark):
+    rng = np.random.default_rng(2)
+    a, b = (rng.integers(-(2**63), 2**63 - 1, (20, 5)) for _ in range(2))
+    df = spark.createDataFrame([(x.tolist(), y.tolist()) for x, y in zip(a, b, strict=True)], "a array<long>, b array<long>")
+    got = [r[0] for r in df.select(near_dup.differ_of(F.col("a"), F.col("b"), 5)).collect()]
+    assert got == np.diag(near_dup.differing(a, b)).tolist()
+    assert 30 < near_dup.most_differing(140, 85) < 50 and near_dup.bands_for(85) == 28
+
+
+def test_every_pair_of_components_meets(spark, monkeypatch):
+    rows = [(g, r, c, 1) for g in (1, 2) for r, c in [*((i, 100) for i in range(23)), *((i, i) for i in range(30, 41)), (50, 51), (52, 51)]]
+    got = near_dup._seats(spark.createDataFrame(rows, "grp long, rep long, comp long, w long"), 4).collect()
+    met = Counter()
+    for t in {r["task"] for r in got}:
+        side = lambda s: [(r["rep"], r["comp"]) for r in got if r["task"] == t and r[s]]  # noqa: B023, E731
+        assert len(side("left")) < 20 and len(side("right")) < 20
+        met.update({tuple(sorted((x[0], y[0]))) for x in side("left") for y in side("right") if x[1] != y[1]})
+    members = [(r, c) for g, r, c, _ in rows if g == 1]
+    assert met == {tuple(sorted((x[0], y[0]))): 2 for x, y in itertools.combinations(members, 2) if x[1] != y[1]}
 
 
 def test_overlaps_in_ranges_equal_set_intersections():
@@ -106,13 +142,18 @@ def test_slices_keep_all_rows_in_turn():
     assert not list(common.parts(batch.slice(0, 0)))
 
 
-def test_language(spark, odd, none):
+def test_language(spark, odd, none, monkeypatch):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = lang_id.identify(d, "doc_id", "lang").withColumn("out", lang_id.held_out()).where("out").toPandas()
     assert (got["lang"] == got["lang_pred"]).mean() > 0.97
     r = {x["doc_id"]: x for x in lang_id.predict(odd, lang_id.learn(d), "doc_id").collect()}
     assert [r[i]["lang_pred"] for i in (1, 2, 3, 7)] == ["und"] * 4 and all(0 <= x["score"] <= 1 for x in r.values())
     assert {x["lang_pred"] for x in lang_id.predict(odd, lang_id.learn(none), "doc_id").collect()} == {"und"}
+    short = d.limit(60).select("doc_id", "text")
+    prototypes = lang_id.learn(d)
+    once = sorted(map(tuple, lang_id.predict(short, prototypes, "doc_id").collect()))
+    monkeypatch.setattr(lang_id, "LANGS", 1)
+    assert prototypes.count() > 2 and sorted(map(tuple, lang_id.predict(short, prototypes, "doc_id").collect())) == once
     t = "Été à la plage, deux fois."
     book = lang_id.Codebook()
     assert np.array_equal(book.encode([book.rows(t)])[0], lang_id.exact(*lang_id.ngrams(t)))
@@ -121,15 +162,16 @@ def test_language(spark, odd, none):
 def test_packing_round_trip(spark, odd, none):
     from tokenizers import Tokenizer
 
-    docs = real(spark).select("doc_id", "text").unionByName(odd.select("doc_id", "text").where("doc_id <> 6").withColumn("doc_id", F.col("doc_id") + 10**6))
+    more = odd.select("doc_id", "text").withColumn("doc_id", F.col("doc_id") + 10**6)
+    docs = real(spark).select("doc_id", "text").unionByName(more).unionByName(spark.createDataFrame([(None, "same row")] * 300, "doc_id long, text string"))
     tok = Tokenizer.from_file(packing.vocabulary_path())
     got = packing.pack(docs).toPandas()
-    rows = {r["doc_id"]: r["text"] for r in docs.collect()}
-    for i, g in got.groupby("doc_id"):
-        ids = np.array([*tok.encode(rows[i] or "", add_special_tokens=False).ids, 0], "<u4")
-        g = g.sort_values("piece")
-        assert list(g["start"]) == list(range(0, len(ids), 2048)) and g["length"].sum() == len(ids)
-        assert list(g["ids_crc32"]) == [zlib.crc32(ids[a : a + 2048].tobytes()) for a in g["start"]]
+    want = Counter()
+    for r in docs.collect():
+        ids = np.array([*tok.encode(r["text"] or "", add_special_tokens=False).ids, 0], "<u4")
+        want.update((r["doc_id"], p, a, len(ids[a : a + 2048]), zlib.crc32(ids[a : a + 2048].tobytes())) for p, a in enumerate(range(0, len(ids), 2048)))
+    ids = [None if x != x else int(x) for x in got["doc_id"]]
+    assert Counter(zip(ids, got["piece"], got["start"], got["length"], got["ids_crc32"], strict=True)) == want
     for _, g in got.groupby("sequence_id"):
         g = g.sort_values("offset")
         assert list(g["offset"]) == [0, *g["length"].cumsum()[:-1]] and g["length"].sum() <= 2048
@@ -137,6 +179,19 @@ def test_packing_round_trip(spark, odd, none):
     assert packing.pack(none).count() == 0
 
 
+def test_ids_of_any_tokenizer():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    texts = ["Hello There, WORLD  twice\n\tover", "", None, "It's 12 <|endoftext|> o'clock: \u00c9T\u00c9."]
+    for name, plain in (("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)):
+        path = public_tokenizers.path(name)
+        ids, tok = packing.Ids(path), Tokenizer.from_file(path)
+        assert ids.words == plain
+        got, bounds = ids(pa.array(texts, pa.string()))
+        assert [got[a:z].tolist() for a, z in zip(bounds[:-1], bounds[1:], strict=True)] == [tok.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
 def test_fullest_equals_search():
     rng = np.random.default_rng(0)
     for _ in range(60):
@@ -148,21 +203,64 @@ def test_fullest_equals_search():
         assert sum(n * k for n, k in combo.items()) == best and all(k <= counts[n] for n, k in combo.items())
 
 
+def goals(sizes):
+    """Target words by source: shares by weight, what is over three times a size to the others, again and again."""
+    order = sorted(sizes, key=lambda x: (x is None, x or ""))
+    weight = {x: (1, 2, 3)[i % 3] for i, x in enumerate(order)}
+    out, left, rest = {}, set(sizes), sum(sizes.values())
+    while left:
+        unit = rest / sum(weight[x] for x in left)
+        over = {x for x in left if weight[x] * unit > 3 * sizes[x]}
+        if not over:
+            return out | {x: weight[x] * unit for x in left}
+        out |= {x: 3 * sizes[x] for x in over}
+        rest, left = rest - sum(3 * sizes[x] for x in over), left - over
+    return out
+
+
 def test_mixing(spark, odd, none):
-    for docs in (real(spark), odd, odd.where("source is null")):
+    same = spark.createDataFrame([(None, "a b c d e f g h i j", "one")] * 20 + [(5, "k l m", "one")] * 9 + [(5, "other", "one")] + [(i, "w " * 40, None) for i in range(30)], "doc_id long, text string, source string")
+    for docs in (real(spark), odd, odd.where("source is null"), same):
         m = mixing.mix(docs.select("doc_id", "text", "source")).select("source", "_size", "_source_size", "_target", "_draws").toPandas()
         words = [len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")) for r in docs.collect()]
         assert sorted(words) == sorted(m["_size"])
-        goal = mixing.targets([(None if s != s else s, int(g["_size"].sum())) for s, g in m.groupby("source", dropna=False)])
+        goal = goals({None if s != s else s: int(g["_size"].sum()) for s, g in m.groupby("source", dropna=False)})
         for s, g in m.groupby("source", dropna=False):
             taken = (g["_size"] * g["_draws"].map(len)).sum()
             assert g["_target"].iloc[0] == pytest.approx(goal[None if s != s else s]) and abs(taken - g["_target"].iloc[0]) <= g["_size"].max() / 2 + 1
         assert m["_draws"].map(len).max() <= 3
+        assert all(0 <= d["shard"] < mixing.SHARDS for x in m["_draws"] for d in x)
     assert mixing.mix(none.select("doc_id", "text", "source")).count() == 0
+    assert_equal(spark, SF, mixing.query, mixing.ORACLE_SQL)
+
+
+def test_splitting_tree(spark, monkeypatch):
     q = np.array([100, 7, 0, 3000])
     s = mixing.split(q, 7)
     assert (s.sum(0) == q).all() and (s >= 0).all() and np.ptp(s.sum(1)) <= 3
-    assert sum(mixing.targets([("a", 10), ("b", 1), (None, 100)]).values()) == pytest.approx(111)
+    leaves = np.array([5, 0, 1000, 2100, 0, 1, 1])
+    s = mixing.split(q, 7, leaves=leaves)
+    assert (s.sum(0) == q).all() and (s.sum(1) == leaves).all() and (s >= 0).all()
+    big = np.array([4_000_000_000, 1_000_000, 30])
+    s = mixing.split(big, 4)
+    assert (s.sum(0) == big).all() and np.ptp(s.sum(1)) <= 3 and abs(s[0, 1] - 250_000) < 5 * 500
+    # The way for large populations draws as numpy does where both can.
+    rng = np.random.default_rng(3)
+    for good, bad, n in ((30, 50, 20), (70, 10, 60), (5, 75, 79)):
+        plain = rng.hypergeometric(good, bad, n, 4000)
+        monkeypatch.setattr(mixing, "_LARGE", 0)
+        own = np.array([mixing.hypergeometric(rng, good, bad, n) for _ in range(4000)])
+        monkeypatch.undo()
+        assert abs(plain.mean() - own.mean()) < 0.2 and abs(plain.std() - own.std()) < 0.15 and own.max() <= min(good, n)
+
+
+def test_more_sources_than_a_group(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "GROUP", 4)
+    docs = spark.createDataFrame([(i, "w " * (1 + i % 7), f"s{i % 11}") for i in range(400)], "doc_id long, text string, source string")
+    m = mixing.mix(docs).toPandas()
+    goal = goals({s: int(g["_size"].sum()) for s, g in m.groupby("source")})
+    for s, g in m.groupby("source"):
+        assert abs((g["_size"] * g["_draws"].map(len)).sum() - goal[s]) <= 4.5
 
 
 def test_secrets(spark, odd, none):
