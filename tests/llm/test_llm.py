@@ -331,25 +331,105 @@ def test_quality(spark, odd, none):
     assert quality.rate(none).count() == 0
 
 
-def test_warc(spark, tmp_path):
-    evil = "WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:77>\r\nContent-Length: 1\r\n\r\nx\r\n\r\n"
-    rows = [(1, "u", "aé"), (2, None, "aé"), (3, "u", None), (4, "u", ""), (5, "u", evil * 3), (6, "u", "y" * 5000 + evil), (None, "u", "aé"), (8, "u", "WARC/1.0\r\n")]
-    rows += [(100 + i, "u", f"<p>{i}</p>" * 50) for i in range(60)]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+@pytest.fixture
+def ranges(spark):
+    """Sets the bytes of a file that a task reads."""
+    keys = ["spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"]
+    was = [spark.conf.get(k) for k in keys]
+    yield lambda n: [spark.conf.set(k, str(v)) for k, v in zip(keys, (n, 1), strict=True)]
+    for k, v in zip(keys, was, strict=True):
+        spark.conf.set(k, v)
+
+
+EVIL = "WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:77>\r\nContent-Length: 1\r\n\r\nx\r\n\r\n"
+#: As EVIL, with a length that leads far beyond the file, and one whose header has no end.
+FAR, OPEN = EVIL.replace("Length: 1", "Length: 123456789012345"), "\r\n\r\nWARC/1.0\r\nno end"
+
+
+def test_warc(spark, tmp_path, ranges):
+    rows = [(1, "u", "a\u00e9"), (2, None, "a\u00e9"), (3, "u", None), (4, "u", ""), (5, "u", EVIL * 3), (6, "u", "y" * 5000 + "\r\n\r\n" + EVIL), (None, "u", "a\u00e9"), (8, "u", "WARC/1.0\r\n")]
+    rows += [(9, "u", "\r\n\r\n" + FAR + "z" * 3000), (10, "u", "\r\n" * 9 + EVIL), (11, "WARC/1.0", OPEN * 2), (-12, "u", "WARC/1.WARC/1.0\r\n\r\n" * 200), (13, "u", "\r\n"), (13, "u", "\r\n"), (None, "u", "only null ids"), (None, "u", "only null ids")]
+    rows += [(100 + i, "u", f"<p>{i}</p>" * 50) for i in range(30)]
+    pages = spark.createDataFrame([(*r, 1, "x") for r in rows], "page_id long, url string, html string, bytes int, digest string").coalesce(1)
+    top = {}
+    for i, _, h in rows:
+        top[h or ""] = max(top.get(h or "", -99), -99 if i is None else i)
+    want = Counter()
+    for i, _, h in rows:
+        p, best = (h or "").encode(), top[h or ""]
+        kind = ("response", None) if best in (i, -99) else ("revisit", best)
+        want[(i, len(p), base64.b32encode(hashlib.sha1(p).digest()).decode(), *kind)] += 1
     warc.write(warc.records(pages), str(tmp_path / "w"))
-    for block in (64, 1000, 1 << 20):
-        got = warc.read(str(tmp_path / "w"), spark, block).toPandas()
-        assert len(got) == len(rows) and got["intact"].all()
-        top = {}
-        for i, _, h in rows:
-            top[h or ""] = max(top.get(h or "", -1), -1 if i is None else i)
-        by = {(None if x["page_id"] != x["page_id"] else int(x["page_id"])): x for x in got.to_dict("records")}
-        for i, _, h in rows:
-            p = (h or "").encode()
-            x = by[i]
-            assert x["payload_bytes"] == len(p) and x["payload_digest"] == base64.b32encode(hashlib.sha1(p).digest()).decode()
-            assert (x["record_type"], x["refers_to"] if x["refers_to"] == x["refers_to"] else None) == (("response", None) if top[h or ""] == i else ("revisit", top[h or ""]))
+    warc.write(warc.records(pages).coalesce(1), str(tmp_path / "z"), gzip=True)
+    cols = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    for name, size in (("w", 1 << 20), ("w", 4001), ("z", 1 << 20)):
+        ranges(size)
+        got = warc.read(str(tmp_path / name), spark).collect()
+        assert Counter(tuple(r[c] for c in cols) for r in got) == want and all(r["intact"] for r in got), size
+    got = warc.read(str(tmp_path / "w"), spark, payload=True).where("record_type = 'response'").collect()
+    assert {bytes(r["payload"]).decode() for r in got} == set(top)
     assert warc.records(pages.limit(0)).count() == 0
+    warc.write(warc.records(pages.limit(0)), str(tmp_path / "none"))
+    assert warc.read(str(tmp_path / "none"), spark).count() == 0
+
+
+def test_ranges_of_any_size():
+    """Files cut into ranges as the text reader cuts them, against a plain walk along the lengths."""
+    rng = np.random.default_rng(5)
+    evil, magic = EVIL.encode(), warc.MAGIC
+    for _ in range(200):
+        kinds = [b"", b"plain" * 7, evil * 2, b"\r\n\r\n" + evil, b"\r\n" * 3 + b"WARC/1.0\r\n", OPEN.encode(), FAR.encode(), b"\r\n\r\n" + FAR.encode()]
+        payloads = [kinds[i] for i in rng.integers(0, len(kinds), rng.integers(1, 8))]
+        data = b"".join(b"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: %d\r\n\r\n%b\r\n\r\n" % (len(p), p) for p in payloads)
+        n, at, groups = int(rng.integers(5, 300)), 0, {}
+        for line in data.split(magic):
+            groups.setdefault(0 if not at else (at - 1) // n, []).append(line)
+            at += len(line) + len(magic)
+        base, found = 0, {}
+        for k, lines in sorted(groups.items()):
+            r = warc.Range(k == 0, True)
+            for line in lines:
+                r.feed(line)
+            *cands, last = r.rows("f", k * n, len(data))
+            found |= {c[2] + base: (None if c[3] is None else c[3] + base, c[5], c[-1]) for c in cands}
+            base += last[6]
+        at = 0
+        assert base - len(magic) == len(data)
+        for p in payloads:
+            nxt, whole, payload = found[at]
+            end = data.index(b"\r\n\r\n", at) + 8 + len(p)
+            assert nxt in (None, end) and (not whole or payload == p)
+            at = end
+
+
+def test_warc_long_headers_and_broken_chains(spark, tmp_path, ranges):
+    urls = {i: "data:," + ("x" * 70_000 + "WARC/1.0" + "x" * 70_000 if i == 20 else "x" * 10) for i in range(40)}
+    pages = spark.createDataFrame([(i, u, f"<p>{i}</p>\r\n\r\nWARC/1.0\r\na: b\r\n" * 3) for i, u in urls.items()], "page_id long, url string, html string").coalesce(1)
+    warc.write(warc.records(pages).coalesce(1), str(tmp_path / "w"))
+    for size in (9000, 1 << 20):
+        ranges(size)
+        got = warc.read(str(tmp_path / "w"), spark).toPandas()
+        assert sorted(got["page_id"]) == list(urls) and got["intact"].all()
+    file = next((tmp_path / "w").glob("part-*"))
+    data = file.read_bytes()
+    (tmp_path / "broken").mkdir()
+    for bad, n in ((data[:-100], 39), (re.sub(rb"\r\nContent-Length: \d+", b"\\r\\nContent-Length: 1", data, count=1), 0), (b"x" + data, 0)):
+        (tmp_path / "broken/part-0").write_bytes(bad)
+        with pytest.raises(ValueError, match="no whole record"):
+            warc.read(str(tmp_path / "broken"), spark)
+        assert warc.read(str(tmp_path / "broken"), spark, whole=False).count() == n
+
+
+def test_warc_members_and_sql(spark, tmp_path):
+    import gzip
+
+    pages = spark.createDataFrame([(i, "u", f"page {i} " * 30) for i in range(20)], "page_id long, url string, html string").coalesce(1)
+    warc.write(warc.records(pages).coalesce(1), str(tmp_path / "w"))
+    data = next((tmp_path / "w").glob("part-*")).read_bytes()
+    (tmp_path / "m").mkdir()
+    (tmp_path / "m/a.warc.gz").write_bytes(b"".join(gzip.compress(b"WARC/1.0" + x) for x in data.split(b"WARC/1.0")[1:]))
+    assert sorted(r["page_id"] for r in warc.read(str(tmp_path / "m"), spark).collect()) == list(range(20))
+    assert_equal(spark, SF, warc.query, warc.ORACLE_SQL)
 
 
 def test_licenses(spark, odd, none):
@@ -441,23 +521,6 @@ def test_licenses_of_wrapped_headers():
     assert licenses.identify(lines) == (["UNKNOWN", "CCBY", "MITRef", "UNKNOWN"], ["CC-BY-4.0", "MIT"])
 
 
-def test_warc_long_headers_and_broken_chains(spark, tmp_path):
-    urls = {i: "data:," + "x" * (200_000 if i == 20 else 10) for i in range(40)}
-    pages = spark.createDataFrame([(i, u, f"<p>{i}</p>\r\n\r\nWARC/1.0\r\na: b\r\n" * 3) for i, u in urls.items()], "page_id long, url string, html string").coalesce(1)
-    warc.write(pages.transform(warc.records).coalesce(1), str(tmp_path / "w"))
-    for block in (1000, 1 << 20):
-        got = warc.read(str(tmp_path / "w"), spark, block).toPandas()
-        assert sorted(got["page_id"]) == list(urls) and got["intact"].all()
-    file = next((tmp_path / "w").glob("part-*"))
-    data = file.read_bytes()
-    (tmp_path / "broken").mkdir()
-    for bad, n in ((data[:-100], 39), (re.sub(rb"\r\nContent-Length: \d+", b"\\r\\nContent-Length: 1", data, count=1), 0), (b"x" + data, 0)):
-        (tmp_path / "broken/part-0").write_bytes(bad)
-        with pytest.raises(ValueError, match="no whole record"):
-            warc.read(str(tmp_path / "broken"), spark)
-        assert warc.read(str(tmp_path / "broken"), spark, whole=False).count() == n
-
-
 B64 = "Zk3vQ9xT1bLr7WmPc5Nd8Ys2"
 
 
