@@ -16,4 +16,9 @@ QUERIES = {
     "op10_simhash": simhash.query,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_quality_rules": quality.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op4_quality_rules": quality.ORACLE_SQL,
+    "op6_warc_chain": warc.ORACLE_SQL,
+    "op8_source_mixing": mixing.ORACLE_SQL,
+    "op9_minhash_near_dedup": near_dup.ORACLE_SQL,
+}
