@@ -439,7 +439,8 @@ def test_licenses(spark, odd, none):
             assert licenses.identify(t)[1] == want, t
     assert licenses.identify("Redistribution and use in source and binary forms, with or without modification, are permitted.\nRedistributions of source code must retain the above copyright notice.\nRedistributions in binary form must reproduce the above copyright notice.")[1] == ["BSD-2-Clause"]
     assert licenses.identify("A strange licence applies.") == (["UNKNOWN"], [])
-    assert all(licenses.TRIGGER.search(re.sub(r"[\\()?|]|\.\*", " ", p)) for _, p in licenses.SENTENCES)
+    assert all(licenses.TRIGGER.search(re.sub(r"[\\()?|]|\.\*", "", p)) for _, p in licenses.SENTENCES)
+    assert {i for _, rule in licenses.RULES for i in rule.replace("?", "").split() if not i.startswith("SPDX:")} <= {i for i, _ in licenses.SENTENCES}
     assert licenses.scan(odd).count() == 10 and licenses.scan(none).count() == 0
 
 
@@ -508,7 +509,7 @@ distributed under the License is distributed on an "AS IS" BASIS.
 
 def test_licenses_of_wrapped_headers():
     headers = [
-        (MIT, "MIT"), (BSD, "BSD-3-Clause"), (BSD[: BSD.index("3.")], "BSD-2-Clause"), (GPL.format(":", ",", 3), "GPL-3.0-or-later"), (GPL.format(";", ";", 2), "GPL-2.0-or-later"), (APACHE, "Apache-2.0"), ("SPDX-License-Identifier: MIT\n", "SPDX"),
+        (MIT, "MIT"), (BSD, "BSD-3-Clause"), (BSD[: BSD.index("3.")], "BSD-2-Clause"), (GPL.format(":", ",", 3), "GPL-3.0-or-later"), (GPL.format(";", ";", 2), "GPL-2.0-or-later"), (APACHE, "Apache-2.0"), ("SPDX-License-Identifier: MIT\n", "MIT"),
     ]
     for text, want in headers:
         for mark in ("", "# ", "// ", " * "):
@@ -516,9 +517,84 @@ def test_licenses_of_wrapped_headers():
             for end in ("\n", "\r\n"):
                 assert licenses.identify("Copyright (c) 2020 A. Person\n\n" + t.replace("\n", end))[1] == [want], t
         assert licenses.identify(" ".join(text.split()))[1] == [want]
-    assert licenses.identify("SPDX-License-Identifier: LicenseRef-X\nimport os\nA strange\nlicence") == (["SPDX", "UNKNOWN"], ["SPDX"])
+    assert licenses.identify("SPDX-License-Identifier: LicenseRef-X\nimport os\nA strange\nlicence") == (["SPDX:LicenseRef", "UNKNOWN"], ["LicenseRef"])
     lines = "Some licence\nLicensed under CC BY 4.0\nReleased under the MIT License\nan odd warranty"
-    assert licenses.identify(lines) == (["UNKNOWN", "CCBY", "MITRef", "UNKNOWN"], ["CC-BY-4.0", "MIT"])
+    assert licenses.identify(lines) == (["UNKNOWN", "CCBy40", "MITRef", "UNKNOWN"], ["CC-BY-4.0", "MIT"])
+
+
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES
+WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES.
+"""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at http://mozilla.org/MPL/2.0/.
+"""
+LGPL = """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.
+"""
+AGPL = GPL.replace("GNU General", "GNU Affero General").format(":", ",", 3)
+ZLIB = """This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented.
+2. Altered source versions must be plainly marked as such, and must not be
+   misrepresented as being the original software.
+3. This notice may not be removed or altered from any source distribution.
+"""
+UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or
+distribute this software, either in source code form or as a compiled
+binary, for any purpose, commercial or non-commercial, and by any means.
+"""
+
+
+def test_more_licences():
+    for text, want in [(ISC, "ISC"), (MPL, "MPL-2.0"), (LGPL, "LGPL-2.1-or-later"), (AGPL, "AGPL-3.0-or-later"), (ZLIB, "Zlib"), (UNLICENSE, "Unlicense")]:
+        for mark in ("", "# ", "// "):
+            assert licenses.identify("".join(f"{mark}{line}\n" for line in text.split("\n")))[1] == [want], text
+        assert licenses.identify(" ".join(text.split()))[1] == [want], text
+    for text, want in [
+        ("Licensed under the GPLv2+.", ["GPL-2.0-or-later"]), ("It is licensed under the GPL version 2 or later.", ["GPL-2.0-or-later"]), ("Distributed under the terms of the GNU Lesser General Public License, version 3.", ["LGPL-3.0"]),
+        ("This is not licensed under the MIT license.", []), ("It was never licensed under CC BY 4.0, but is licensed under CC BY-SA 4.0.", ["CC-BY-SA-4.0"]), ("Neither this nor that is released under the MIT License.", []),
+        ("// SPDX-License-Identifier: (MIT OR Apache-2.0) AND GPL-2.0+ WITH Classpath-exception-2.0\nint x;", ["MIT", "Apache-2.0", "GPL-2.0-or-later"]), ("Released under the BSD 3-Clause License", ["BSD-3-Clause"]),
+        ("Available under the Boost Software License, Version 1.0", ["BSL-1.0"]), ("the product was released under pressure by the version 2 team", []), ("made available under the terms of the Eclipse Public License v2.0 which is here", ["EPL-2.0"]),
+    ]:
+        assert licenses.identify(text)[1] == want, text
+
+
+def test_rules_equal_brute_force():
+    """Sequences of identifiers against rules tried one by one at every place."""
+    rng = np.random.default_rng(4)
+    names = [*{i for _, r in licenses.RULES[:40] for i in r.replace("?", "").split()}, "UNKNOWN", "NOT", "SPDX:MIT"]
+    options = lambda rule: [[i.rstrip("?") for i, take in zip(rule, c, strict=True) if take] for c in itertools.product(*[(1, 0) if i.endswith("?") else (1,) for i in rule])]
+    for _ in range(300):
+        ids = [names[i] for i in rng.integers(0, len(names), rng.integers(0, 12))]
+        if rng.random() < 0.7:
+            rule = licenses.RULES[rng.integers(0, len(licenses.RULES))][1].split()
+            ids[2:2] = options(rule)[0]
+        left, found = list(ids), []
+        for name, rule in licenses.RULES:
+            at, spans = 0, []
+            while at < len(left):
+                hit = next((o for o in options(rule.split()) if left[at : at + len(o)] == o), None)
+                if hit:
+                    spans.append((at, len(hit)))
+                at += len(hit) if hit else 1
+            for at, n in spans:
+                left[at : at + n] = [None] * n
+                found.append((at, name))
+        assert licenses.licences(ids) == list(dict.fromkeys(n for _, n in sorted(found))), ids
 
 
 B64 = "Zk3vQ9xT1bLr7WmPc5Nd8Ys2"
