@@ -451,9 +451,10 @@ def test_quotes(spark):
     assert len(got) == len(rows)
     r = got[2, 0]
     assert (r["reply_conv"], r["reply_turn"], r["thread_conv"], r["thread_turn"], r["depth"], r["n_linked"], r["clean_text"]) == (1, 1, 1, 0, 2, 2, "ok")
-    assert got[3, 5]["n_quotes"] == 1 and got[3, 5]["n_linked"] == 0 and got[2, 1]["clean_text"] == ""
+    assert got[3, 5]["n_quotes"] == 1 and got[3, 5]["n_linked"] == 0 and got[2, 1]["clean_text"] == "" and got[2, 1]["reply_turn"] == 0 and got[3, 6]["thread_turn"] == 5
+    assert got[None, 1]["n_quotes"] == 1 and got[None, 1]["n_linked"] == 0 and got[None, 1]["thread_conv"] is None
     order = [(x["conv_id"], x["turn"]) for x in quotes.conversations(quotes.link(m)).where("thread_conv = 1").collect()]
-    assert order == [(1, 0), (1, 1), (2, 0)]
+    assert order == [(1, 0), (1, 1), (2, 0), (2, 1)]
     assert quotes.link(m.limit(0)).count() == 0
 
 
@@ -641,6 +642,78 @@ def test_quotes_of_several_lines(spark):
     assert (got[2, 1]["n_linked"], got[2, 1]["reply_conv"], got[2, 1]["reply_turn"]) == (1, 2, 0)
 
 
+def test_quotes_equal_brute_force(spark, monkeypatch):
+    """Generated replies with nested and partial quotes, repeated rows and a long conversation, against a plain search."""
+    monkeypatch.setattr(quotes, "RANGE", 7)
+    rng = np.random.default_rng(8)
+    says, rows = {}, []
+    word = lambda: "alpha beta gamma delta epsilon zeta".split()[rng.integers(0, 6)]
+    for conv in range(6):
+        for turn in range(30 if conv == 2 else 6):
+            lines = [" ".join(word() for _ in range(rng.integers(2, 5))) for _ in range(rng.integers(1, 5))]
+            if rng.random() < 0.25:
+                lines.insert(1, "")
+            text = "\n".join(lines)
+            if rows and rng.random() < 0.5:
+                old = says[tuple(rows[rng.integers(0, len(rows))][:2])][0].split("\n")
+                lo = rng.integers(0, len(old))
+                quoted = [f"> {x.upper()}" for x in old[lo : lo + rng.integers(1, 4)]]
+                nested = [f">> {word()} {word()}"] if rng.random() < 0.3 else []
+                text = "\n".join([*nested, *quoted, text])
+            says.setdefault((conv, turn), []).append(quotes.parse(text)[0])
+            rows.append((conv, turn, "u", text, 1, "x"))
+            if rng.random() < 0.15:
+                rows.append(rows[-1])
+    rows.append((4, 3, None, "> " + says[1, 1][0].split("\n")[0] + "\nanother text of the same turn", 1, "x"))
+    says[4, 3].append("another text of the same turn")
+    rows.append((5, 99, "u", "> " + "very long " * 20000 + "\n" + "own " * 50000, 1, "x"))
+    says[5, 99] = ["own " * 50000]
+    norm = lambda t: " ".join(t.lower().split())
+
+    def holds(text, passage):  # whole lines in a row, blank ones aside; or all of a block, paragraph or message
+        lines = [norm(x) for x in text.split("\n") if norm(x)]
+        want = [norm(x) for x in passage if norm(x)]
+        return any(lines[i : i + len(want)] == want for i in range(len(lines))) or any(norm(p) == " ".join(want) for p in [text, *re.split(r"\n\s*\n", text), *text.split("\n")])
+
+    def passages(text):
+        out = []
+        for line in text.split("\n"):
+            level = re.match(r"^[ \t]*((?:>[ \t]?)*)", line)[1].count(">")
+            body = line.lstrip("> \t") if level else line
+            if out and out[-1][0] == level:
+                out[-1][1].append(body)
+            else:
+                out.append((level, [body]))
+        return [p for p in out if p[0] and norm(" ".join(p[1]))]
+
+    def original(at, passage):
+        first = [k for k in sorted(says) if any(holds(t, passage) for t in says[k])]
+        here = [k for k in first if k[0] == at[0]]
+        return here[0] if here and here[0] < at else first[0] if first and first[0] < at else None
+
+    own = []
+    for conv, turn, _, text, *_ in rows:
+        found = [(level, original((conv, turn), p)) for level, p in passages(text)]
+        own.append((len(found), sum(o is not None for _, o in found), next((o for level, o in found if level == 1 and o), None)))
+    parent = {}
+    keys = sorted(says)
+    for i, k in enumerate(keys):
+        mine = [o for r, (_, _, o) in zip(rows, own, strict=True) if (r[0], r[1]) == k and o]
+        parent[k] = min(mine) if mine else keys[i - 1] if i and keys[i - 1][0] == k[0] else None
+    path = lambda k: [k] if parent[k] is None else [k, *path(parent[k])]
+    want = Counter()
+    for r, (n, linked, o) in zip(rows, own, strict=True):
+        k = (r[0], r[1])
+        want[(*k, r[2], n, linked, *(o or parent[k] or (None, None)), *path(k)[-1], len(path(k)) - 1)] += 1
+    got = quotes.link(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string, depth int, root string"))
+    cols = ["conv_id", "turn", "role", "n_quotes", "n_linked", "reply_conv", "reply_turn", "thread_conv", "thread_turn", "depth"]
+    assert Counter(tuple(r[c] for c in cols) for r in got.collect()) == want
+    place = {}
+    for i, r in enumerate(quotes.conversations(got).collect()):
+        place.setdefault((r["conv_id"], r["turn"]), i)
+    assert all(p is None or path(k)[-1] != path(p)[-1] or place[p] < place[k] for k, p in parent.items())
+
+
 def test_language_stage_keeps_short_clean_texts(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     kept = {r["doc_id"]: r["text"] for r in lang_id.stage(spark, d, SF).collect()}
