@@ -5,11 +5,14 @@ Each occurrence votes on every bit of a 128-bit fingerprint by its hash; a bit i
 votes are for it. Votes are counted eight to a 64-bit sum over at most 127 terms, then two to a sum over those parts:
 few sums, so that the code generated for them is small enough to be compiled. Likeness is the share of equal bits.
 
-``near_pairs`` finds all pairs within a Hamming radius: with radius r, the bits are cut into r + 1 blocks, at least one
-of which is equal in both (one table for each block).
+``near_pairs`` finds all pairs within a Hamming radius by permuted block tables: of eight blocks of 16 bits at least two
+are equal in a pair within RADIUS bits, so a table for each two blocks, permuted to the front, has the pair side by side.
+A pair counts in the first of its tables only. Where very many fingerprints share two blocks, the rest of their bits is
+cut into seven groups, of which one is equal again, and they meet by two blocks and a group.
 
 Null texts are empty; a text without words has the fingerprint of no votes, all zeros. Rows go in ascending doc_id,
-null first, then by text hash; after the last comes the first. A single row is its own next one.
+null first, then by text hash; after the last comes the first. A single row is its own next one. Repeated rows are rows
+of their own and one class. Other columns are not looked at.
 """
 from __future__ import annotations
 
@@ -26,8 +29,10 @@ SEP = r"[\x20\x09-\x0D]+"
 #: Eight counters of 8 bits, and two of 32 bits that take one of the former, in a 64-bit sum; terms in a
 #: part (the top counter stays below the sign bit).
 LANES8, LANES32, PART = 0x0101010101010101, 0x000000FF000000FF, 127
-#: Rows of a bucket in the ordered pass, and the most buckets there may be.
-PER_BUCKET, MAX_BUCKETS = 1000, 100_000
+#: Rows of a bucket in the ordered pass, the most buckets there may be, and those of rows without an id.
+PER_BUCKET, MAX_BUCKETS, NULL_BUCKETS = 200, 100_000, 256
+#: Bits by which near fingerprints differ at most; fingerprints that share two blocks from which on these meet by groups.
+RADIUS, HOT = 6, 2000
 
 
 def word_hashes(text: Column) -> Column:
@@ -91,20 +96,71 @@ def _signed(digits: Column) -> Column:
     return F.conv(digits, 16, 10).cast("long")
 
 
-def near_pairs(fps: DataFrame, radius: int = 3) -> DataFrame:
-    """Pairs (a, b, distance) of fingerprint classes within ``radius``; ``fps`` has id and fingerprint.
+def _halves(fp: Column) -> list[Column]:
+    p = [_signed(x) for x in _parts(fp)]
+    return [F.shiftleft(p[0], 32).bitwiseOR(p[1]), F.shiftleft(p[2], 32).bitwiseOR(p[3])]
+
+
+def _blocks(a: Column, b: Column) -> list[Column]:
+    return [F.shiftrightunsigned(x, s).bitwiseAND(F.lit(0xFFFF)) for x in (a, b) for s in (48, 32, 16, 0)]
+
+
+_TABLES = [(i, j) for i in range(8) for j in range(i + 1, 8)]
+
+
+def near_pairs(fps: DataFrame, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
+    """Pairs (a, b, distance) of fingerprint classes within ``radius``, RADIUS at most; ``fps`` has id and fingerprint.
 
     Equal fingerprints are one class, named by its least id, and aren't paired: join on the fingerprint for members.
     """
-    cls = fps.where("fingerprint is not null").groupBy("fingerprint").agg(F.min("id").alias("id"))
-    ends = [round(i * BITS / (radius + 1)) for i in range(radius + 2)]
-    bits = F.concat(*[F.lpad(F.conv(p, 16, 2), 32, "0") for p in _parts(F.col("fingerprint"))])
-    keys = F.array(*[F.struct(F.lit(i).alias("block"), F.substring(bits, lo + 1, hi - lo).alias("bits")) for i, (lo, hi) in enumerate(zip(ends, ends[1:], strict=False))])
-    t = cls.select("id", "fingerprint", F.explode(keys).alias("k")).select("id", "fingerprint", "k.block", "k.bits")
+    if radius > RADIUS:
+        raise ValueError(f"the block tables find pairs within {RADIUS} bits")
+    cls = fps.where("fingerprint is not null and id is not null").groupBy("fingerprint").agg(F.min("id").alias("id"))
+    x, y = _halves(F.col("fingerprint"))
+    cls = cut(cls.select("id", x.alias("x"), y.alias("y")), "classes")
+    k = _blocks(F.col("x"), F.col("y"))
+    keys = F.array(*[F.lit(t << 32).bitwiseOR(F.shiftleft(k[i], 16)).bitwiseOR(k[j]) for t, (i, j) in enumerate(_TABLES)])
+    t = cls.select("id", "x", "y", F.explode(keys).alias("key"))
+    shared = cut(t.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
+    t = cut(t.join(shared, "key"), "tables")
+    plain = _meet(t.where(F.col("n") <= hot).withColumn("grp", F.lit(0)), radius, False)
+    # The two equal blocks are left out of the groups; of the other 96 bits, five groups have 16 and two have 8.
+    rest = F.expr("filter(transform(sequence(0, 7), i -> named_struct('i', i, 'v', shiftrightunsigned(if(i < 4, x, y), 48 - 16 * (i % 4)) & 65535L)), b -> b.i <> first and b.i <> second)")
+    by = lambda at: F.element_at(F.array(*[F.lit(p[at]) for p in _TABLES]), (F.shiftrightunsigned("key", 32) + 1).cast("int"))
+    many = t.where(F.col("n") > hot).withColumn("first", by(0)).withColumn("second", by(1)).withColumn("rest", F.transform(rest, lambda b: b["v"]))
+    groups = F.array(*[F.col("rest")[i] for i in range(5)], F.shiftrightunsigned(F.col("rest")[5], 8), F.col("rest")[5].bitwiseAND(F.lit(255)))
+    many = many.select("id", "x", "y", "key", F.posexplode(groups).alias("grp", "sub"))
+    return plain.unionByName(_meet(many.withColumn("n", F.lit(0)), radius, True))
+
+
+def _meet(t: DataFrame, radius: int, grouped: bool) -> DataFrame:
     a, b = t.alias("a"), t.alias("b")
-    distance = F.round((1 - likeness(F.col("a.fingerprint"), F.col("b.fingerprint"))) * BITS).cast("int")
-    same = (F.col("a.block") == F.col("b.block")) & (F.col("a.bits") == F.col("b.bits")) & (F.col("a.id") < F.col("b.id"))
-    return a.join(b, same & (distance <= radius)).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), distance.alias("distance")).distinct()
+    x, y = (F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}")) for c in "xy")
+    distance = F.bit_count(x) + F.bit_count(y)
+    on = (F.col("a.key") == F.col("b.key")) & (F.col("a.grp") == F.col("b.grp"))
+    if grouped:
+        on &= F.col("a.sub") == F.col("b.sub")
+    j = a.join(b, on & (F.col("a.id") < F.col("b.id")) & (distance <= radius))
+    j = j.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), distance.cast("int").alias("distance"), x.alias("x"), y.alias("y"), F.col("a.key").alias("key"), F.col("a.grp").alias("grp"))
+    # Only in the first table, and group, in which the two are equal.
+    same = F.array(*[k == 0 for k in _blocks(F.col("x"), F.col("y"))])
+    first = F.array_position(same, True).cast("int")
+    second = first + F.array_position(F.slice(same, first + 1, F.lit(8)), True).cast("int")
+    table = F.element_at(F.array(*[F.lit(10 * (i + 1) + j + 1) for i, j in _TABLES]), (F.shiftrightunsigned("key", 32) + 1).cast("int"))
+    j = j.where(table == 10 * first + second)
+    if grouped:
+        both = F.array(*_blocks(F.col("x"), F.col("y")))
+        rest = F.filter(both, lambda v, i: (i != first - 1) & (i != second - 1))
+        equal = F.array(*[rest[i] == 0 for i in range(5)], F.shiftrightunsigned(rest[5], 8) == 0, rest[5].bitwiseAND(F.lit(255)) == 0)
+        j = j.where(F.array_position(equal, True).cast("int") == F.col("grp") + 1)
+    return j.select("a", "b", "distance")
+
+
+def neighbours(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """fingerprint, class_id (its least id) and n_near: how many other fingerprints are within ``radius``."""
+    cls = fps.where("fingerprint is not null").groupBy("fingerprint").agg(F.min("id").alias("class_id"))
+    links = near_pairs(fps, radius).select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count(F.lit(1)).alias("n_near"))
+    return cls.join(links, "class_id", "left").select("fingerprint", "class_id", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"))
 
 
 def _buckets(ids: DataFrame) -> tuple[Column, int]:
@@ -112,7 +168,7 @@ def _buckets(ids: DataFrame) -> tuple[Column, int]:
     leaves = 32
     q, n = ids.agg(F.percentile_approx("doc_id", [i / leaves for i in range(leaves + 1)], 10000), F.count(F.lit(1))).first()
     if not q:
-        return F.lit(0).cast("long"), 1
+        return _null_bucket(), NULL_BUCKETS
     cuts = sorted(set(q))
     steps = max(1, min(MAX_BUCKETS, n // PER_BUCKET) // leaves)
 
@@ -120,11 +176,16 @@ def _buckets(ids: DataFrame) -> tuple[Column, int]:
         if hi - lo <= 1:
             a, b = cuts[lo], cuts[min(lo + 1, len(cuts) - 1)]
             inner = F.floor((F.col("doc_id") - F.lit(a)).cast("double") / float(max(1, b - a)) * steps)
-            return F.lit(1 + lo * steps).cast("long") + F.greatest(F.lit(0), F.least(F.lit(steps - 1), inner))
+            return F.lit(NULL_BUCKETS + lo * steps).cast("long") + F.greatest(F.lit(0), F.least(F.lit(steps - 1), inner))
         mid = (lo + hi) // 2
         return F.when(F.col("doc_id") < F.lit(cuts[mid]), leaf(lo, mid)).otherwise(leaf(mid, hi))
 
-    return F.when(F.col("doc_id").isNull(), F.lit(0).cast("long")).otherwise(leaf(0, len(cuts))), len(cuts) * steps + 1
+    return F.when(F.col("doc_id").isNull(), _null_bucket()).otherwise(leaf(0, len(cuts))), len(cuts) * steps + NULL_BUCKETS
+
+
+def _null_bucket() -> Column:
+    """Rows without an id go by the hash of their text, and so do their buckets."""
+    return F.shiftright(F.xxhash64("t"), 56) + F.lit(128).cast("long")
 
 
 def edited(docs: DataFrame) -> DataFrame:
@@ -133,11 +194,13 @@ def edited(docs: DataFrame) -> DataFrame:
     bucket, _ = _buckets(docs.select("doc_id"))
     d = docs.withColumn("bucket", bucket)
     # The first row of each bucket also goes, marked, to the end of the bucket before: then every next row is at hand.
-    firsts = d.groupBy("bucket").agg(F.min("doc_id").alias("first"))  # one row for each bucket
+    # Of rows without an id the one with the least hash is the first of its bucket.
+    d = d.withColumn("o", F.coalesce("doc_id", F.xxhash64("t")))
+    firsts = d.groupBy("bucket").agg(F.min("o").alias("first"))  # one row for each bucket
     w = Window.orderBy("bucket")
     lap = F.coalesce(F.lag("bucket").over(w), F.max("bucket").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     firsts = cut(firsts.select(F.col("bucket").alias("_b"), "first", lap.alias("_before")), "firsts")
-    j = d.join(small(firsts), (F.col("bucket") == F.col("_b")) & F.col("doc_id").eqNullSafe(F.col("first")), "left")
+    j = d.join(small(firsts), (F.col("bucket") == F.col("_b")) & (F.col("o") == F.col("first")), "left").drop("o")
     own = F.struct(F.col("bucket"), F.lit(0).alias("guest"))
     guest = F.struct(F.col("_before").alias("bucket"), F.lit(1).alias("guest"))
     d = j.select("doc_id", "t", F.explode(F.when(F.col("_b").isNull(), F.array(own)).otherwise(F.array(own, guest))).alias("x"))
@@ -161,4 +224,6 @@ def edited(docs: DataFrame) -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return edited(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    f = cut(edited(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")), "fingerprints")
+    near = cut(neighbours(f.select(F.col("doc_id").alias("id"), "fingerprint")), "neighbours")
+    return f.join(small(near), "fingerprint").select(*f.columns, "class_id", "n_near")
