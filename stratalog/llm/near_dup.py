@@ -33,8 +33,9 @@ from stratalog.llm.components import components
 from stratalog.plans.scratch import cut
 
 ROWS, MISS, BITS, SEED = 5, 1e-7, 2, 97
-#: About so many signatures, and elements of sets, in each of the two chunks that meet in a task.
-SIGNATURES, ITEMS = 2048, 1 << 19
+#: About so many signatures, and elements of sets, in each of the two chunks that meet in a task. A set weighs as
+#: much as LEAST elements at least, so that no chunk has very many of them.
+SIGNATURES, ITEMS, LEAST = 256, 1 << 19, 1 << 11
 #: Of a 64-bit word of two-bit values, their lower bits; values in a word.
 LOWER, WIDTH = 0x5555555555555555, 32
 
@@ -282,7 +283,7 @@ def _to_firsts(reps: DataFrame, inside: DataFrame, words: int, most: int, values
     likely = corrected(differ_of(F.col("_sig"), F.col("_tau"), words), values) >= F.lit(corrected(most, values) - 1e-9)
     fits = 100 * F.least("_n", "_m") >= percent * F.greatest("_n", "_m")
     pairs = cut(pairs.where(likely & fits).select("u", "v", "_n", "_sig", "_m", "_tau"), "pairs")
-    per = cut(pairs.groupBy("v").agg(F.ceil(F.sum("_n") / ITEMS).cast("int").alias("_d")), "hubs")
+    per = cut(pairs.groupBy("v").agg(F.ceil(F.sum(F.greatest("_n", F.lit(LEAST))) / ITEMS).cast("int").alias("_d")), "hubs")
     hub = pairs.select("v", "_m", "_tau").distinct().join(per, "v")
     hub = hub.select("v", F.col("v").alias("rep"), F.col("v").alias("comp"), F.col("_m").alias("n"), F.col("_tau").alias("sig"), F.lit(True).alias("left"), F.explode(F.sequence(F.lit(0), F.col("_d") - 1)).alias("_i"))
     rest = pairs.join(per.select("v", "_d"), "v").select("v", F.col("u").alias("rep"), F.col("u").alias("comp"), F.col("_n").alias("n"), F.col("_sig").alias("sig"), F.lit(False).alias("left"), F.pmod(F.xxhash64("u", F.lit(SEED)), F.col("_d")).cast("int").alias("_i"))
@@ -317,7 +318,7 @@ def _families(reps: DataFrame, inside: DataFrame, known: DataFrame, most: int, p
     family = components(star)
     member = family.select(F.col("u").alias("rep"), F.col("v").alias("grp")).unionByName(family.select(F.col("v").alias("rep"), F.col("v").alias("grp")).distinct())
     member = member.join(label, "rep", "left").join(s, "rep")
-    return cut(member.select("grp", "rep", F.coalesce("_c", "rep").alias("comp"), F.col("n").alias("w"), "n", "sig"), "family")
+    return cut(member.select("grp", "rep", F.coalesce("_c", "rep").alias("comp"), F.greatest("n", F.lit(LEAST)).alias("w"), "n", "sig"), "family")
 
 
 def _confirmed(docs: DataFrame, seats: DataFrame, k: int, bands: int, most: int, percent: int) -> DataFrame:
