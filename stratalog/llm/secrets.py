@@ -84,7 +84,8 @@ def features(f: DataFrame) -> DataFrame:
 
 
 def labelled_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
-    """Findings with labels, the same at every call: secrets in the ways that they leak, and what scanners mistake for them."""
+    """Findings with labels, the same at every call: secrets in the ways that they leak, and what scanners mistake for
+    them. ``template`` says which way it is, so that models can be tested on ways that they have not met."""
     i = F.col("id")
     hex40, hex64 = F.sha1(i.cast("string")), F.sha2(i.cast("string"), 256)
     b64 = F.regexp_replace(F.base64(F.unhex(F.sha2(F.concat(F.lit("b"), i), 256))), "=", "")
@@ -112,7 +113,9 @@ def labelled_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
         (F.concat(F.upper(word("a")), F.lit("_SECRET_ACCESS_KEY_"), i % 10), plain, anywhere, 0, ' = "'),
         (F.concat(F.substring(b64, 1, 6), F.lit("!"), F.substring(hex40, 1, 2)), key("password = "), anywhere, 1), (F.substring(b64, 1, 10), key("pwd="), anywhere, 1), (F.concat(word("a"), F.substring(num("n"), 1, 4), F.lit("$!")), key("password: "), anywhere, 1),
         (F.concat(F.substring(b64, 1, 5), F.lit("@"), F.substring(b64, 9, 4), F.lit("%."), F.substring(hex40, 1, 5)), key("passwd: "), anywhere, 1), (letters, key("token = "), anywhere, 1), (F.lower(F.substring(letters, 1, 12)), key("secret="), anywhere, 1),
-        (F.concat(F.lit("AKIA"), F.upper(F.substring(letters, 1, 16))), plain, anywhere, 1), (F.concat(F.lit("ghp_"), letters), plain, anywhere, 1), (F.concat_ws(".", b64, F.substring(b64, 5, 30), hex40), key("token = "), anywhere, 1),
+        (F.concat(F.lit("AKIA"), F.upper(F.substring(letters, 1, 16))), plain, anywhere, 1), (F.concat(F.lit("ghp_"), letters), plain, anywhere, 1), (F.concat(F.lit("AKIA"), up), plain, anywhere, 1), (F.concat(F.lit("ghp_"), F.substring(F.regexp_replace(b64, "[+/]", "x"), 1, 36)), key("see "), anywhere, 1),
+        (F.concat(F.lit("sk_live_"), F.substring(F.regexp_replace(b64, "[+/]", "Q"), 1, 24)), key("stripe: "), anywhere, 1), (F.concat(F.lit("glpat-"), F.substring(letters, 1, 20)), plain, anywhere, 1), (F.concat(F.lit("xoxb-"), F.substring(num("x"), 1, 12), F.lit("-"), letters), key("slack = "), anywhere, 1),
+        (F.concat(F.lit("AIza"), F.substring(F.concat(letters, hex40), 1, 35)), plain, anywhere, 1), (F.concat(F.lit("github_pat_"), letters), plain, anywhere, 1), (F.concat_ws(".", b64, F.substring(b64, 5, 30), hex40), key("token = "), anywhere, 1),
         (F.concat(F.lit("-----BEGIN RSA PRIVATE KEY-----\n"), b64, F.lit("\n"), b64, F.lit("\n-----END RSA PRIVATE KEY-----")), plain, anywhere, 1),
         (word("a"), key("token: "), anywhere, 0), (F.concat(word("a"), F.lit("_"), word("b")), key("secret: "), anywhere, 0), (F.concat(word("a"), F.lit("_"), word("b"), F.lit("()")), key("token = "), anywhere, 0), (F.concat(F.lit("${"), F.upper(word("a")), F.lit("}")), key("password="), anywhere, 0),
         (F.concat_ws(" ", word("a"), word("b"), word("c")), key("password: "), anywhere, 0), (F.concat(F.lit("your_"), word("a")), key("password: "), anywhere, 0), (F.lit("********"), key("pwd="), anywhere, 0), (F.concat(F.lit("https://"), word("a"), F.lit(".com/"), word("b")), key("auth: "), anywhere, 0),
@@ -120,7 +123,7 @@ def labelled_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
     ]
     kinds = [(*k, quote)[:5] for k in kinds]
     pick = lambda at: F.element_at(F.array(*[k[at] if isinstance(k[at], Column) else F.lit(k[at]) for k in kinds]), (i % len(kinds) + 1).cast("int"))
-    return spark.range(0, n, 1, 4).select(pick(0).alias("candidate"), pick(1).alias("before"), pick(4).alias("after"), pick(2).alias("path"), pick(3).cast("double").alias("label"))
+    return spark.range(0, n, 1, 4).select(pick(0).alias("candidate"), pick(1).alias("before"), pick(4).alias("after"), pick(2).alias("path"), pick(3).cast("double").alias("label"), (i % len(kinds)).cast("int").alias("template"))
 
 
 def train(findings: DataFrame) -> RandomForestClassificationModel:
@@ -163,13 +166,14 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stays; secrets in it are replaced by ``[SECRET]`` and ``n_chars`` follows."""
+    """Every document stays; secrets in it are replaced by ``[SECRET]``, place by place, and ``n_chars`` follows."""
     cols = ["doc_id", "text", "lang", "source", "n_chars"]
     # Spans hold for one text only: rows that share a doc_id are told apart by it.
     keyed = docs.select(F.struct(F.col("doc_id"), F.xxhash64("text").alias("h")).alias("doc_id"), "text", "source")
-    found = scan(keyed, train(labelled_findings(spark))).where("is_secret")
-    spans, long = F.struct("start", "length"), F.when(F.col("length") >= 16, F.col("candidate"))
-    bad = cut(found.groupBy(F.col("doc_id").alias("_id")).agg(F.array_sort(F.collect_set(spans)).alias("_at"), F.collect_set(long).alias("_bad")), "secrets")
+    found = scan(keyed, train(labelled_findings(spark)))
+    # What is a secret in one place of a text is one wherever it is a candidate there.
+    same = found.groupBy(F.col("doc_id").alias("_id"), "candidate").agg(F.max("is_secret").alias("is_secret"), F.collect_set(F.struct("start", "length")).alias("_at")).where("is_secret")
+    bad = cut(same.groupBy("_id").agg(F.array_sort(F.flatten(F.collect_list("_at"))).alias("_at")), "secrets")
     j = docs.select(*cols).join(small(bad), F.struct(F.col("doc_id"), F.xxhash64("text").alias("h")).eqNullSafe(F.col("_id")), "left")
     t, mask = F.col("text"), F.lit("[SECRET]")
 
@@ -178,8 +182,6 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     rest = lambda s: F.concat(s["out"], F.substring(t, (s["end"] + 1).cast("int"), F.length(t)))
     masked = F.aggregate("_at", F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("end")), piece, rest)
-    # Long ones also go where they are not a finding; the longest first, so that one within another doesn't break it.
-    longest = F.expr("array_sort(_bad, (a, b) -> length(b) - length(a))")
-    clean = F.when(F.col("_id").isNull(), t).otherwise(F.aggregate(longest, masked, lambda t, s: F.replace(t, s, mask)))
+    clean = F.when(F.col("_id").isNull(), t).otherwise(masked)
     j = j.withColumn("text", clean).withColumn("n_chars", F.when(F.col("_id").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
     return j.select(*cols)
