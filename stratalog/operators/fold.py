@@ -24,6 +24,11 @@ def live(log: DataFrame, key: str = "k") -> DataFrame:
     return latest(log, key).filter(F.col("entry_type") == PUT)
 
 
+def live_of(log: DataFrame, probes: DataFrame, key: str = "k") -> DataFrame:
+    """live(), of the keys in ``probes`` only: the log is cut to them before it is folded."""
+    return live(log.join(probes.select(key).distinct(), key, "left_semi"), key)
+
+
 def with_live(log: DataFrame, key: str = "k") -> DataFrame:
     """Every row, with ``live`` 1 on those the index refers to.
 

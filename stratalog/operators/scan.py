@@ -45,11 +45,16 @@ def prefix_scan(d: DataFrame, prefix, k: str = "k", keys_only: bool = False) ->
     return (d.select(k) if keys_only else d).orderBy(k)
 
 
-def range_n_per_start(d: DataFrame, n: int = 50, k: str = "k") -> DataFrame:
-    """The ``n`` keys from each key on: ranks once, then an equality join on rank plus 0..n-1, not a range join."""
-    r = cut(ranked(d.select(k), k), "range_n")
-    starts = r.select(F.col(k).alias("start_key"), F.col("i"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("pos"))
-    return starts.withColumn("i", F.col("i") + F.col("pos")).join(r, "i").select("start_key", k, F.col("pos").cast("int").alias("pos"))
+def range_n_per_start(d: DataFrame, n: int = 50, k: str = "k", size: int = 100_000) -> DataFrame:
+    """The ``n`` keys from each key on: ranks once, then windows over ``size`` ranks, each with the first n - 1 of the next ones."""
+    r = ranked(d.select(k), k)
+    size = max(size, n)
+    p = F.floor(F.col("i") / size)
+    halo = (F.col("i") % size < n - 1) & (F.col("i") >= size)
+    r = r.select(k, "i", F.explode(F.when(halo, F.array(p, p - 1)).otherwise(F.array(p))).alias("p"))
+    ahead = Window.partitionBy("p").orderBy("i").rowsBetween(0, n - 1)
+    own = r.withColumn("ahead", F.collect_list(k).over(ahead)).where(p == F.col("p"))
+    return own.select(F.col(k).alias("start_key"), F.posexplode("ahead").alias("pos", k)).select("start_key", k, "pos")
 
 
 def bound(d: DataFrame, probes: DataFrame, k: str = "k", strict: bool = False, name: str = "lb") -> DataFrame:

@@ -23,6 +23,10 @@ def _snap(s, d, seq) -> DataFrame:
     return fold.as_of(kv(s, d), seq).select("k", "seq")
 
 
+def _version(s, d, seq) -> DataFrame:
+    return fold.as_of(kv(s, d), seq).select("k", "seq", "value_size")
+
+
 def _guard_plan(s, d) -> DataFrame:
     return table(s, d, "customer").select(user_key("c_custkey").alias("k"), (F.col("c_custkey") % 4).cast("int").alias("g"))
 
@@ -46,8 +50,8 @@ def _kv_cols(df: DataFrame) -> DataFrame:
 QUERIES = {
     "keydir_fold": lambda s, d: keydir(s, d).select("k", "seq", "file_id", "value_size"),
     "get_point": lambda s, d: _kv_cols(scan.get(keydir(s, d), "user::000042")),
-    "multi_get": lambda s, d: _kv_cols(scan.multi_get(keydir(s, d), _probes(s, d))),
-    "contains_key": lambda s, d: scan.contains(keydir(s, d), _probes(s, d)),
+    "multi_get": lambda s, d: _kv_cols(scan.multi_get(fold.live_of(kv(s, d), _probes(s, d)), _probes(s, d))),
+    "contains_key": lambda s, d: scan.contains(fold.live_of(kv(s, d).drop("v", "value_size"), _probes(s, d)), _probes(s, d)),
     "iter_from": lambda s, d: _kv_cols(scan.scan(keydir(s, d), "user::000040")),
     "iter_from_limit50": lambda s, d: _kv_cols(scan.scan(keydir(s, d), "user::000040", limit=50)),
     "keys_from_prefix": lambda s, d: scan.prefix_scan(keydir(s, d), "user::0001", keys_only=True),
@@ -59,6 +63,9 @@ QUERIES = {
     "tombstone_map": lambda s, d: fold.tombstones(kv(s, d)),
     "hint_dedup_per_file": lambda s, d: fold.partial_fold(kv(s, d)).select("file_id", "k", "seq", "entry_type", "value_size"),
     "recovery_merge_from_hints": lambda s, d: fold.merge_partials(fold.partial_fold(kv(s, d))).select("k", "seq", "file_id", "value_size"),
+    "upsert_newer": lambda s, d: fold.upsert(_version(s, d, SNAP_OLD), keydir(s, d).select("k", "seq", "value_size"), "k", F.col("new.seq") > F.col("old.seq")),
+    "merge_resolved": lambda s, d: fold.keyed_merge(_version(s, d, SNAP_OLD), _version(s, d, SNAP_NEW), "k", F.max),
+    "live_size": lambda s, d: keydir(s, d).agg(F.count(F.lit(1)).alias("size"), (F.count(F.lit(1)) == 0).alias("is_empty")),
     "next_lsn": lambda s, d: fold.next_lsn(kv(s, d)),
     "file_stats": lambda s, d: stats.file_stats(kv(s, d)),
     "vacuum_candidate": lambda s, d: stats.vacuum_candidate(stats.file_stats(kv(s, d)), ACTIVE_FILE).select("file_id"),

@@ -23,6 +23,9 @@ STATEMENTS = {
     "tombstone_map": """SELECT k, max(seq) AS tomb_seq FROM kv WHERE entry_type = 2 GROUP BY k""",
     "hint_dedup_per_file": """SELECT file_id, k, seq, entry_type, value_size FROM (SELECT *, row_number() OVER (PARTITION BY file_id, k ORDER BY seq DESC) rn FROM kv) t WHERE rn = 1""",
     "recovery_merge_from_hints": """SELECT k, seq, file_id, value_size FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq DESC) r2 FROM (SELECT *, row_number() OVER (PARTITION BY file_id, k ORDER BY seq DESC) rn FROM kv) t WHERE rn = 1) u WHERE r2 = 1 AND entry_type = 1""",
+    "upsert_newer": """WITH s AS (SELECT k, seq, value_size FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq DESC) rn FROM kv WHERE seq <= 9000) t WHERE rn = 1 AND entry_type = 1) SELECT coalesce(s.k, c.k) AS k, CASE WHEN s.k IS NULL OR c.seq > s.seq THEN c.seq ELSE s.seq END AS seq, CASE WHEN s.k IS NULL OR c.seq > s.seq THEN c.value_size ELSE s.value_size END AS value_size FROM s FULL OUTER JOIN keydir c ON s.k = c.k""",
+    "merge_resolved": """SELECT k, max(seq) AS seq, max(value_size) AS value_size FROM (SELECT * FROM (SELECT k, seq, value_size FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq DESC) rn FROM kv WHERE seq <= 9000) t WHERE rn = 1 AND entry_type = 1) a UNION ALL SELECT * FROM (SELECT k, seq, value_size FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq DESC) rn FROM kv WHERE seq <= 9950) t WHERE rn = 1 AND entry_type = 1) b) u GROUP BY k""",
+    "live_size": """SELECT count(*) AS size, count(*) = 0 AS is_empty FROM keydir""",
     "next_lsn": """SELECT cast(max(seq) + 1 as bigint) AS next_lsn FROM kv""",
     "file_stats": """SELECT file_id, cast(sum(live * (19 + length(k) + value_size)) as bigint) AS live_bytes, cast(sum(19 + length(k) + value_size) as bigint) AS total_bytes FROM kv_live GROUP BY file_id""",
     "vacuum_candidate": """WITH fs AS (SELECT file_id, sum(live * (19 + length(k) + value_size)) AS l, sum(19 + length(k) + value_size) AS t FROM kv_live GROUP BY file_id) SELECT file_id FROM fs WHERE file_id < 9 AND 1.0 - cast(l as double)/cast(t as double) > 0.5 ORDER BY 1.0 - cast(l as double)/cast(t as double) DESC, file_id LIMIT 1""",

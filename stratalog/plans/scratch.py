@@ -40,11 +40,12 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def ranked(df: DataFrame, *order: str, rank: str = "i") -> DataFrame:
+def ranked(df: DataFrame, *order: str, rank: str = "i", total: tuple[str, str] | None = None) -> DataFrame:
     """Dense 0-based global rank by ``order``, without a single-partition window.
 
     Rows are range-partitioned and sorted once; a row's rank is its place in its range plus the rows of the
-    ranges before. Only one count per range (a few thousand rows at most) crosses between tasks.
+    ranges before. Only one count per range (a few thousand rows at most) crosses between tasks. ``total`` (column, name)
+    also gives the sum of a column over all rows before.
     """
     placed = (
         df.repartitionByRange(*[F.col(c) for c in order])
@@ -55,8 +56,15 @@ def ranked(df: DataFrame, *order: str, rank: str = "i") -> DataFrame:
         .drop("_m")
     )
     placed = cut(placed, "ranked")
-    counts = placed.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
+    size = F.col(total[0]) if total else F.lit(0)
+    counts = placed.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"), F.sum(size).alias("_s"))
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    base = counts.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_b"))
+    base = counts.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_b"), F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_t"))
+    if total:
+        inside = Window.partitionBy("_p").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+        placed = placed.withColumn("_c", F.coalesce(F.sum(size).over(inside), F.lit(0)))
     # One row per range: as many as there are shuffle partitions, whatever the data.
-    return placed.join(F.broadcast(base), "_p").withColumn(rank, F.col("_b") + F.col("_r")).drop("_p", "_r", "_b")
+    out = placed.join(F.broadcast(base), "_p").withColumn(rank, F.col("_b") + F.col("_r"))
+    if total:
+        out = out.withColumn(total[1], F.col("_t") + F.col("_c")).drop("_c")
+    return out.drop("_p", "_r", "_b", "_t")

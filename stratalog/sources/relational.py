@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from stratalog.functions.keys import encode_int, int_key, prefix_range, table_prefix
+from stratalog.plans.scratch import cut
 from stratalog.sources.store import Store, WritePlan
 
 
@@ -25,11 +26,28 @@ class Table:
         return self.prefix + encode_int(pk)
 
     def insert(self, rows: DataFrame) -> None:
-        """Rows of any number, in one commit; ValueError if a key is there already or comes twice."""
+        """Rows of any number, in one commit; ValueError if a key comes twice, or is there in the version that it follows."""
         keyed = rows.select(F.concat(F.lit(self.prefix), int_key(F.col(self.key))).alias("key"), F.to_json(F.struct(*self.schema.names)).alias("value"), F.lit("put").alias("op"))
-        if not keyed.groupBy("key").count().filter("count > 1").isEmpty() or not keyed.join(self.store.relation().filter(prefix_range(F.col("key"), self.prefix)).select("key"), "key", "left_semi").isEmpty():
+        keyed = cut(keyed, "insert")
+        if not keyed.groupBy("key").count().filter("count > 1").isEmpty():
             raise ValueError("duplicate key")
-        self.store.apply_frame(keyed, "key")
+
+        def check(view) -> None:
+            there = view.relation().filter(prefix_range(F.col("key"), self.prefix)).select("key")
+            if not keyed.join(there, "key", "left_semi").isEmpty():
+                raise ValueError("duplicate key")
+
+        self.store.apply_frame(keyed, "key", check=check)
+
+    def get(self, pk: int) -> dict | None:
+        """A row by its key."""
+        import json
+
+        value = self.store.get(self.row_key(pk))
+        return None if value is None else json.loads(value)
+
+    def count(self) -> int:
+        return self.store.prefix(self.prefix, keys_only=True).count()
 
     def update(self, pk: int, row: dict) -> bool:
         import json

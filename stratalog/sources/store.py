@@ -1,7 +1,9 @@
 """The store: immutable Parquet segments, and manifests of which each names one version.
 
-A commit writes its rows as a segment, then creates the next manifest exclusively; whoever comes second evaluates its
-guards anew. Nothing of a commit is visible before its manifest, so a batch is atomic and durable before it is seen.
+A commit writes its rows as segments, then publishes the next manifest under a name that must be free; whoever comes
+second evaluates its guards anew. Nothing of a commit is visible before its manifest, so a batch is atomic and durable
+before it is seen. A manifest is written beside its name and moved there whole, and carries its checksum: one that is
+torn or damaged all the same is passed over. Pins are files too, so that no process deletes what another one reads.
 """
 from __future__ import annotations
 
@@ -13,6 +15,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from stratalog.functions.keys import crc32c
 from stratalog.operators import fold, guards, scan as scans
 from stratalog.plans.model import BEGIN, DELETE, END, ENTRY_OVERHEAD, LOG, MAX_KEY, MAX_VALUE, PUT
 
@@ -89,7 +92,13 @@ class View:
         segs = [s for s in self.manifest["segments"] if (low is None or s["max_key"] is None or bytes.fromhex(s["max_key"]) >= low) and (high is None or s["min_key"] is None or bytes.fromhex(s["min_key"]) <= high)]
         if not segs:
             return spark.createDataFrame([], LOG)
-        return spark.read.schema(LOG).parquet(*[f"{root}/segments/{s['name']}" for s in segs])
+        read = spark.read.schema(LOG).option("parquet.page.verify-checksum.enabled", str(self.verify).lower())
+        return read.parquet(*[f"{root}/segments/{s['name']}" for s in segs])
+
+    @property
+    def verify(self) -> bool:
+        """Whether what is read is held against the checksums of its pages; snapshots always are."""
+        return True
 
     def _live(self, low: bytes | None = None, high: bytes | None = None) -> DataFrame:
         rows = self.log(low, high).filter(F.col("entry_type").isin(PUT, DELETE))
@@ -111,7 +120,9 @@ class View:
         return not self._live(key, key).select("key").isEmpty()
 
     def multi_get(self, probes: DataFrame) -> DataFrame:
-        return scans.multi_get(self.relation().select("key", "value"), probes, "key")
+        """Values of many keys: the log is cut to the probes' keys before it is folded."""
+        rows = self.log().filter(F.col("entry_type").isin(PUT, DELETE)).join(probes.select("key").distinct(), "key", "left_semi")
+        return scans.multi_get(fold.live(rows, "key").select("key", "value"), probes, "key")
 
     def scan(self, start: bytes = b"", stop: bytes | None = None, keys_only: bool = False, limit: int | None = None) -> DataFrame:
         return scans.scan(self._live(start or None, stop).select("key", "value"), None, stop, "key", keys_only, limit)
@@ -125,20 +136,31 @@ class View:
     def size(self) -> int:
         return self._live().count()
 
+    def empty(self) -> bool:
+        return self._live().isEmpty()
+
 
 class Store(View):
-    """An ordered key-value store in a folder that every executor can reach."""
+    """An ordered key-value store in a folder that every executor can reach.
+
+    The folder's file system must move a file to a name only if that is free (HDFS and local ones do).
+    """
 
-    def __init__(self, spark: SparkSession, path: str, max_file_bytes: int = 64 * MIB, staleness: float = 0.0):
+    def __init__(self, spark: SparkSession, path: str, max_file_bytes: int = 64 * MIB, staleness: float = 0.0, verify_checksums: bool = False, pin_seconds: float = 7 * 86400):
         self.spark, self.path, self.max_file_bytes, self.staleness = spark, path.rstrip("/"), max_file_bytes, staleness
+        self.verify_checksums, self.pin_seconds = verify_checksums, pin_seconds
         self._local = self.path.removeprefix("file://") if "://" not in self.path or self.path.startswith("file://") else None
         self._cached: dict | None = None
-        self._pins: dict[int, int] = {}
+        self._pins: set[str] = set()
         if self._latest() is None:
             self._publish({"version": 0, "time": time.time(), "next_lsn": 1, "active": 0, "active_bytes": 0, "segments": [], "streams": {}, "tables": {}})
 
     open = classmethod(lambda cls, *a, **k: cls(*a, **k))
 
+    @property
+    def verify(self) -> bool:
+        return self.verify_checksums
+
     # manifests
 
     def _fs(self, p: str):
@@ -146,53 +168,77 @@ class Store(View):
         path = jvm.org.apache.hadoop.fs.Path(p)
         return jvm, path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def _versions(self) -> list[int]:
+    def _names(self, folder: str) -> dict[str, float]:
+        """Names in a folder of the store, with the seconds at which they were last changed."""
         if self._local:
-            d = f"{self._local}/manifest"
-            names = os.listdir(d) if os.path.isdir(d) else []
-        else:
-            _, p, fs = self._fs(f"{self.path}/manifest")
-            names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
-        return sorted(int(n[:-5]) for n in names if n.endswith(".json"))
+            d = f"{self._local}/{folder}"
+            return {e.name: e.stat().st_mtime for e in os.scandir(d)} if os.path.isdir(d) else {}
+        _, p, fs = self._fs(f"{self.path}/{folder}")
+        return {s.getPath().getName(): s.getModificationTime() / 1000 for s in fs.listStatus(p)} if fs.exists(p) else {}
 
-    def _read(self, version: int) -> dict:
+    def _versions(self) -> list[int]:
+        return sorted(int(n[:-5]) for n in self._names("manifest") if n.endswith(".json") and n[:-5].isdigit())
+
+    def _read(self, version: int) -> dict | None:
+        """A manifest; None if it isn't whole."""
         name = f"manifest/{version:020d}.json"
         if self._local:
-            with open(f"{self._local}/{name}") as f:
-                return json.load(f)
-        return json.loads(self.spark.read.text(f"{self.path}/{name}", wholetext=True).first()[0])
+            try:
+                with open(f"{self._local}/{name}", "rb") as f:
+                    body = f.read()
+            except FileNotFoundError:
+                return None
+        else:
+            body = bytes((self.spark.read.format("binaryFile").load(f"{self.path}/{name}").first() or {"content": b""})["content"])
+        crc, _, text = body.partition(b"\n")
+        return json.loads(text) if crc == b"%08x" % crc32c(text) else None
 
     def _latest(self) -> dict | None:
-        v = self._versions()
-        return self._read(v[-1]) if v else None
-
-    def _publish(self, m: dict) -> bool:
-        """Create the manifest of this version, unless there is one."""
-        name, body = f"{m['version']:020d}.json", json.dumps(m)
+        """The newest whole manifest; under the number of a newer one that isn't whole, so that the next is free."""
+        versions = self._versions()
+        for v in reversed(versions):
+            if (m := self._read(v)) is not None:
+                return m | {"version": versions[-1], "read_from": v}
+        return None
+
+    def _put(self, name: str, body: bytes) -> bool:
+        """Write a file whole, unless there is one of this name."""
+        folder, tmp = name.rpartition("/")[0], f"{name.rpartition('/')[0]}/.{uuid.uuid4().hex}"
         if self._local:
-            os.makedirs(f"{self._local}/manifest", exist_ok=True)
-            tmp = f"{self._local}/manifest/.{uuid.uuid4().hex}"
-            with open(tmp, "x") as f:
+            os.makedirs(f"{self._local}/{folder}", exist_ok=True)
+            with open(f"{self._local}/{tmp}", "xb") as f:
                 f.write(body)
                 f.flush()
                 os.fsync(f.fileno())
             try:
-                os.link(tmp, f"{self._local}/manifest/{name}")  # fails if the name is taken
+                os.link(f"{self._local}/{tmp}", f"{self._local}/{name}")  # fails if the name is taken
+                at = os.open(f"{self._local}/{folder}", os.O_RDONLY)
+                os.fsync(at)
+                os.close(at)
                 return True
             except FileExistsError:
                 return False
             finally:
-                os.unlink(tmp)
-        jvm, p, fs = self._fs(f"{self.path}/manifest/{name}")
+                os.unlink(f"{self._local}/{tmp}")
+        jvm, src, fs = self._fs(f"{self.path}/{tmp}")
+        out = fs.create(src, False)
+        out.write(bytearray(body))
+        out.close()
+        _, dst, _ = self._fs(f"{self.path}/{name}")
+        none = jvm.java.lang.reflect.Array.newInstance(jvm.org.apache.hadoop.fs.Options.Rename.NONE.getClass(), 0)
         try:
-            out = fs.create(p, False)
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(dst.toUri(), self.spark._jsc.hadoopConfiguration()).rename(src, dst, none)
+            return True
         except Exception as e:
             if "AlreadyExists" in str(e):
+                fs.delete(src, False)
                 return False
             raise
-        out.write(bytearray(body.encode()))
-        out.close()
-        return True
+
+    def _publish(self, m: dict) -> bool:
+        """Publish the manifest of this version, unless there is one."""
+        text = json.dumps({k: v for k, v in m.items() if k != "read_from"}).encode()
+        return self._put(f"manifest/{m['version']:020d}.json", b"%08x\n" % crc32c(text) + text)
 
     @property
     def manifest(self) -> dict:
@@ -257,34 +303,74 @@ class Store(View):
         if batch.ops:
             self._commit(lambda m: self._append(m, batch.ops), try_lock)
 
-    def apply_frame(self, ops: DataFrame, order: str, stream: tuple[str, int] | None = None) -> bool:
-        """A batch of any size: columns key, value, op (put or delete), in order of ``order``; one segment, one commit.
+    def apply_frame(self, ops: DataFrame, order: str, stream: tuple[str, int] | None = None, check=None) -> bool:
+        """A batch of any size in one commit: columns key, value, op (put or delete), in order of ``order``.
 
-        ``stream`` (name, batch number) makes a repeated micro-batch a no-op.
+        The entries fill the active file and, ``max_file_bytes`` at a time, new ones; in each they are a batch of its
+        own, between markers if there are several, and the manifest makes them one. ``stream`` (name, batch number) makes
+        a repeated micro-batch a no-op. ``check(view)`` is called with the version that the commit will follow and may
+        raise.
         """
         from stratalog.plans.scratch import cut, ranked
 
         kind = F.when(F.lower("op") == "delete", DELETE).otherwise(PUT)
         rows = ops.select(F.col("key").cast("binary").alias("key"), F.when(kind == PUT, F.coalesce(F.col("value").cast("binary"), F.lit(b""))).otherwise(F.lit(b"")).alias("value"), kind.cast("byte").alias("entry_type"), F.col(order).alias("_o"))
-        rows = cut(ranked(rows, "_o", rank="_i"), "ops")
         size = (F.lit(ENTRY_OVERHEAD) + F.octet_length("key") + F.octet_length("value")).cast("long")
-        n, total = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+        rows = cut(ranked(rows.withColumn("_size", size), "_o", rank="_i", total=("_size", "_before")), "ops")
+        n = rows.count()
+        if n and rows.agg(F.max(F.octet_length("key")), F.max(F.octet_length("value"))).first() > (MAX_KEY, MAX_VALUE):
+            raise ValueError("key or value too long")
 
         def make(m: dict):
             if stream and m["streams"].get(stream[0], -1) >= stream[1]:
                 return False
+            if check:
+                check(View(self, m))
+            new = m | {"streams": m["streams"] | dict([stream])} if stream else m
             if not n:
-                return m | {"version": m["version"] + 1, "streams": m["streams"] | dict([stream])} if stream else False
-            seg = self._segment(m, rows.select((F.col("_i") + m["next_lsn"]).alias("seq"), "entry_type", "key", "value", F.lit(m["active"]).cast("long").alias("file_id"), F.lit(None).cast("long").alias("file_offset"), F.octet_length("value").cast("long").alias("value_size")), total, m["active"])
-            new = self._next(m, [*m["segments"], seg], m["next_lsn"] + n, m["active_bytes"] + total)
-            return new | {"streams": m["streams"] | dict([stream])} if stream else new
+                return new | {"version": m["version"] + 1} if stream else False
+            # The file of an entry is the one in which it begins, if files were cut at every max_file_bytes.
+            file = F.floor((F.col("_before") + m["active_bytes"]) / self.max_file_bytes).cast("long")
+            placed = rows.withColumn("_f", file)
+            per = placed.groupBy("_f").agg(F.count(F.lit(1)).alias("n"), F.min("_i").alias("first"), F.min("_before").alias("start"), F.sum("_size").alias("bytes")).orderBy("_f").collect()  # a row for each file
+            plan, lsn = [], m["next_lsn"]
+            for r in per:
+                marks = int(r["n"] > 1)
+                at = m["active_bytes"] if r["_f"] == 0 else 0
+                plan.append((r["_f"], lsn + marks - r["first"], at + marks * ENTRY_OVERHEAD - r["start"], m["active"] + r["_f"]))
+                lsn += r["n"] + 2 * marks
+            where = self.spark.createDataFrame(plan, "_f long, _seq long, _at long, file_id long")
+            entries = placed.join(where, "_f").select((F.col("_i") + F.col("_seq")).alias("seq"), "entry_type", "key", "value", "file_id", (F.col("_before") + F.col("_at")).alias("file_offset"), F.octet_length("value").cast("long").alias("value_size"))
+            marks = []
+            for r, (_, seq, at, f) in zip(per, plan, strict=True):
+                if r["n"] > 1:
+                    marks += [(r["first"] + seq - 1, BEGIN, bytearray(), bytearray(), f, at + r["start"] - ENTRY_OVERHEAD, 0), (r["first"] + seq + r["n"], END, bytearray(), bytearray(), f, at + r["start"] + r["bytes"], 0)]
+            if marks:
+                entries = entries.unionByName(self.spark.createDataFrame(marks, LOG))
+            sizes = {f: r["bytes"] + (2 * ENTRY_OVERHEAD if r["n"] > 1 else 0) for r, (*_, f) in zip(per, plan, strict=True)}
+            segs = self._segments(entries, sizes)
+            last = plan[-1][3]
+            new = new | {"active": last}
+            return self._next(new, [*m["segments"], *segs], lsn, sizes[last] + (m["active_bytes"] if last == m["active"] else 0))
 
         return bool(self._commit(make))
 
+    def _segments(self, rows: DataFrame, sizes: dict[int, int]) -> list[dict]:
+        """A segment for each file of ``rows``, written in one job."""
+        name = f"bulk-{uuid.uuid4().hex}"
+        path = f"{self.path}/segments/{name}"
+        rows.select(*LOG.names, F.col("file_id").alias("f")).sortWithinPartitions("f", "key", F.desc("seq")).write.partitionBy("f").parquet(path)
+        keys = self.spark.read.parquet(path).filter(F.col("entry_type").isin(PUT, DELETE)).groupBy("f").agg(F.min("key").alias("lo"), F.max("key").alias("hi"))
+        return [{"name": f"{name}/f={r['f']}", "file_id": r["f"], "bytes": sizes[r["f"]], "min_key": bytes(r["lo"]).hex(), "max_key": bytes(r["hi"]).hex()} for r in keys.collect()]
+
     # versions and guarded commits
 
     def snapshot(self) -> Snapshot:
-        return Snapshot(self, self._latest())
+        while True:  # a version that went before its pin was there is not taken
+            snap = Snapshot(self, self._latest())
+            if snap.pinned in self._versions():
+                return snap
+            snap.close()
 
     def apply_if(self, snap: View, plan: WritePlan, try_lock: bool = False) -> bool:
         """Commit ``plan`` if its guards hold and none of its keys was written since ``snap``; else False."""
@@ -317,11 +403,10 @@ class Store(View):
 
     # maintenance
 
-    def file_stats(self) -> DataFrame:
+    def file_stats(self, m: dict | None = None) -> DataFrame:
         from stratalog.plans.model import entry_size
 
-        m = self._latest()
-        rows = View(self, m).log()
+        rows = View(self, m or self._latest()).log()
         idx = fold.live(rows.filter(F.col("entry_type").isin(PUT, DELETE)), "key").select("seq").withColumn("live", F.lit(1))
         size = entry_size("key", "value_size")
         return rows.join(idx, "seq", "left").groupBy("file_id").agg(F.coalesce(F.sum(F.col("live") * size), F.lit(0)).cast("long").alias("live_bytes"), F.sum(size).cast("long").alias("total_bytes"))
@@ -332,9 +417,9 @@ class Store(View):
         from stratalog.plans.model import entry_size
 
         def make(m: dict):
-            f = fragmentation(self.file_stats()).filter((F.col("file_id") < m["active"]) & (F.col("total_bytes") > 0) & (F.col("fragmentation") > threshold))
+            f = fragmentation(self.file_stats(m)).filter((F.col("file_id") < m["active"]) & (F.col("total_bytes") > 0) & (F.col("fragmentation") > threshold))
             view = View(self, m)
-            for c in f.orderBy(F.desc("fragmentation"), "file_id").collect():  # a row for each sealed file
+            for c in f.orderBy(F.desc("fragmentation"), "file_id").toLocalIterator():  # the first one does, mostly
                 rows = view.log()
                 idx = fold.live(rows.filter(F.col("entry_type").isin(PUT, DELETE)), "key").select("seq")
                 mine = rows.filter(F.col("file_id") == c["file_id"])
@@ -352,36 +437,61 @@ class Store(View):
 
         return bool(self._commit(make))
 
-    def gc(self, keep: int = 1) -> list[str]:
-        """Delete manifests but the last ``keep`` and pinned ones, and segments that none of the rest names."""
+    def gc(self, keep: int = 1, grace: float = 86400) -> list[str]:
+        """Delete manifests but the last ``keep`` and those that any process has pinned, and segments that none of the
+        rest names; of segments that no manifest ever named, those of the last ``grace`` seconds stay: their commits may
+        be on their way. Pins of which the time is over are deleted too."""
+        now, pinned = time.time(), set()
+        for name in self._names("pins"):
+            version, until, _ = name.split("-")
+            if int(until) < now:
+                self._remove(f"pins/{name}")
+            else:
+                pinned.add(int(version))
         versions = self._versions()
-        stay = set(versions[-keep:]) | {v for v, n in self._pins.items() if n}
-        used = {s["name"] for v in stay for s in self._read(v)["segments"]}
-        before = {s["name"] for v in versions for s in self._read(v)["segments"]}
+        whole = {v: m for v in versions if (m := self._read(v)) is not None}
+        stay = set(versions[-keep:]) | set(sorted(whole)[-keep:]) | pinned
+        used = {s["name"] for v, m in whole.items() if v in stay for s in m["segments"]}
+        before = {s["name"] for m in whole.values() for s in m["segments"]}
         for v in versions:
             if v not in stay:
                 self._remove(f"manifest/{v:020d}.json")
-        for name in before - used:
+        known = {n.partition("/")[0] for n in used | before}
+        orphans = {n for n, at in self._names("segments").items() if n not in known and at < now - grace}
+        for name in (before - used) | orphans:
             self._remove(f"segments/{name}")
-        return sorted(before - used)
+        return sorted((before - used) | orphans)
 
     def _remove(self, name: str) -> None:
         _, p, fs = self._fs(f"{self.path}/{name}")
         fs.delete(p, True)
 
     def close(self) -> None:
-        self._pins.clear()
+        """Gives up this object's pins. Nothing is buffered: every commit is durable when it is seen."""
+        for name in list(self._pins):
+            self._unpin(name)
+
+    def _pin(self, version: int) -> str:
+        name = f"{version}-{int(time.time() + self.pin_seconds) + 1}-{uuid.uuid4().hex}"
+        self._put(f"pins/{name}", b"")
+        self._pins.add(name)
+        return name
+
+    def _unpin(self, name: str) -> None:
+        self._pins.discard(name)
+        self._remove(f"pins/{name}")
 
 
 class Snapshot(View):
-    """A pinned version: garbage collection keeps it until close()."""
+    """A pinned version: no process's garbage collection removes it until close(), or until the pin's time is over."""
 
     def __init__(self, store: Store, manifest: dict):
         super().__init__(store, manifest)
-        store._pins[manifest["version"]] = store._pins.get(manifest["version"], 0) + 1
+        self.pinned = manifest.get("read_from", manifest["version"])
+        self._name = store._pin(self.pinned)
 
     def close(self) -> None:
-        self.store._pins[self.version] -= 1
+        self.store._unpin(self._name)
 
 
 # Store reads its own newest version.
