@@ -14,6 +14,7 @@ import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.window import Window
 
 from stratalog.functions.keys import crc32c
 from stratalog.operators import fold, guards, scan as scans
@@ -146,11 +147,12 @@ class Store(View):
     The folder's file system must move a file to a name only if that is free (HDFS and local ones do).
     """
 
-    def __init__(self, spark: SparkSession, path: str, max_file_bytes: int = 64 * MIB, staleness: float = 0.0, verify_checksums: bool = False, pin_seconds: float = 7 * 86400):
+    def __init__(self, spark: SparkSession, path: str, max_file_bytes: int = 64 * MIB, staleness: float = 0.0, verify_checksums: bool = False, pin_seconds: float = 7 * 86400, sync: bool = True):
         self.spark, self.path, self.max_file_bytes, self.staleness = spark, path.rstrip("/"), max_file_bytes, staleness
-        self.verify_checksums, self.pin_seconds = verify_checksums, pin_seconds
+        self.verify_checksums, self.pin_seconds, self.sync = verify_checksums, pin_seconds, sync
         self._local = self.path.removeprefix("file://") if "://" not in self.path or self.path.startswith("file://") else None
         self._cached: dict | None = None
+        self._looked = 0.0
         self._pins: set[str] = set()
         if self._latest() is None:
             self._publish({"version": 0, "time": time.time(), "next_lsn": 1, "active": 0, "active_bytes": 0, "segments": [], "streams": {}, "tables": {}})
@@ -242,21 +244,21 @@ class Store(View):
 
     @property
     def manifest(self) -> dict:
-        """The newest version; with a staleness tolerance a cached one, until the newest was written later by more than that."""
-        newest = self._latest()
-        if self._cached is None or newest["time"] - self._cached["time"] > self.staleness or not self.staleness:
-            self._cached = newest
+        """The newest version; with a staleness tolerance the one found by the last look, unless that is longer ago."""
+        if self._cached is None or time.monotonic() - self._looked >= self.staleness:
+            self.manifest = self._latest()
         return self._cached
 
     @manifest.setter
     def manifest(self, m: dict) -> None:
-        self._cached = m
+        self._cached, self._looked = m, time.monotonic()
 
     # writes
 
     def _segment(self, m: dict, rows: DataFrame, size: int, file_id: int) -> dict:
         name = f"{file_id:010d}-{uuid.uuid4().hex}"
         rows.select(*LOG.names).sortWithinPartitions("key", F.desc("seq")).write.parquet(f"{self.path}/segments/{name}")
+        self._sync(f"segments/{name}")
         b = self.spark.read.schema(LOG).parquet(f"{self.path}/segments/{name}").filter(F.col("entry_type").isin(PUT, DELETE)).agg(F.min("key"), F.max("key")).first()
         hexed = [None if x is None else bytes(x).hex() for x in b]
         return {"name": name, "file_id": file_id, "bytes": size, "min_key": hexed[0], "max_key": hexed[1]}
@@ -286,7 +288,7 @@ class Store(View):
             if not isinstance(new, dict):
                 return new
             if self._publish(new):
-                self._cached = new
+                self.manifest = new
                 return True
             if try_lock:
                 raise WouldBlock("another commit was first")
@@ -360,9 +362,20 @@ class Store(View):
         name = f"bulk-{uuid.uuid4().hex}"
         path = f"{self.path}/segments/{name}"
         rows.select(*LOG.names, F.col("file_id").alias("f")).sortWithinPartitions("f", "key", F.desc("seq")).write.partitionBy("f").parquet(path)
+        self._sync(f"segments/{name}")
         keys = self.spark.read.parquet(path).filter(F.col("entry_type").isin(PUT, DELETE)).groupBy("f").agg(F.min("key").alias("lo"), F.max("key").alias("hi"))
         return [{"name": f"{name}/f={r['f']}", "file_id": r["f"], "bytes": sizes[r["f"]], "min_key": bytes(r["lo"]).hex(), "max_key": bytes(r["hi"]).hex()} for r in keys.collect()]
 
+    def _sync(self, name: str) -> None:
+        """On a local disk, waits until a segment is there; other file systems see to that when a file is closed."""
+        if not (self.sync and self._local):
+            return
+        for folder, _, files in os.walk(f"{self._local}/{name}"):
+            for x in [f"{folder}/{f}" for f in files] + [folder]:
+                at = os.open(x, os.O_RDONLY)
+                os.fsync(at)
+                os.close(at)
+
     # versions and guarded commits
 
     def snapshot(self) -> Snapshot:
@@ -430,6 +443,10 @@ class Store(View):
                 absorb = c["live_bytes"] <= absorb_bytes and c["live_bytes"] + m["active_bytes"] <= self.max_file_bytes
                 to = m["active"] if absorb else c["file_id"]
                 segs = [s for s in m["segments"] if s["file_id"] != c["file_id"]]
+                # Entries follow one another in the new file; it is one rotation long at most.
+                ahead = Window.orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+                at = F.coalesce(F.sum(entry_size("key", "value_size")).over(ahead), F.lit(0)) + (m["active_bytes"] if absorb else 0)
+                keep = keep.withColumn("file_offset", at.cast("long"))
                 if size:
                     segs.append(self._segment(m, keep.withColumn("file_id", F.lit(to).cast("long")), size, to))
                 return self._next(m, segs, m["next_lsn"], m["active_bytes"] + (size if absorb else 0))
@@ -437,6 +454,23 @@ class Store(View):
 
         return bool(self._commit(make))
 
+    def merge(self, at_least: int = 8) -> bool:
+        """One segment in the place of many: of the file with the most segments, if it has ``at_least`` so many."""
+
+        def make(m: dict):
+            count: dict[int, int] = {}
+            for x in m["segments"]:
+                count[x["file_id"]] = count.get(x["file_id"], 0) + 1
+            most = max(count, key=lambda f: (count[f], -f), default=None)
+            if most is None or count[most] < at_least:
+                return False
+            mine = [x for x in m["segments"] if x["file_id"] == most]
+            rows = View(self, m | {"segments": mine}).log()
+            one = self._segment(m, rows.coalesce(1), sum(x["bytes"] for x in mine), most)
+            return self._next(m, [x for x in m["segments"] if x["file_id"] != most] + [one], m["next_lsn"], m["active_bytes"])
+
+        return bool(self._commit(make))
+
     def gc(self, keep: int = 1, grace: float = 86400) -> list[str]:
         """Delete manifests but the last ``keep`` and those that any process has pinned, and segments that none of the
         rest names; of segments that no manifest ever named, those of the last ``grace`` seconds stay: their commits may

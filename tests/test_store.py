@@ -303,3 +303,25 @@ def test_isolation_recipes(store):
     t.put(b"sum", b"0")
     store.delete(b"doc:c")
     assert not t.commit()
+
+
+def test_many_segments_become_one(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "m"))
+    for i in range(5):
+        store.put(b"k%d" % (i % 3), b"%d" % i)
+    before = as_dict(store)
+    snap = store.snapshot()
+    assert not store.merge() and store.merge(at_least=5) and len(store._latest()["segments"]) == 1
+    assert as_dict(store) == before == as_dict(snap) and store.get(b"k1") == b"4"
+    store.put(b"k9", b"x")
+    assert sorted((r["seq"], r["file_offset"]) for r in store.log().collect()) == [(i + 1, 22 * i) for i in range(6)]
+
+
+def test_stale_reads(spark, store):
+    store.put(b"a", b"1")
+    stale = Store(spark, store.path, staleness=3600)
+    assert stale.get(b"a") == b"1"
+    store.put(b"a", b"2")
+    assert stale.get(b"a") == b"1" and Store(spark, store.path).get(b"a") == b"2"
+    stale.put(b"b", b"3")  # one's own write is seen, and what it follows
+    assert stale.get(b"b") == b"3" and stale.get(b"a") == b"2"
