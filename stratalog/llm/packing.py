@@ -29,7 +29,7 @@ from stratalog.plans.scratch import cut
 
 LENGTH, END, TOKENIZER = 2048, 0, "word_bpe_49k.json"
 #: Chunks kept in a generation, and bytes of text to a call.
-_CACHE, _BYTES, _MARKS, _END = 60_000, 2 << 20, (b".", b","), np.uint32(END).astype("<u4").tobytes()
+_CACHE, _BYTES, _MARKS, _END = 150_000, 4 << 20, (b".", b","), np.uint32(END).astype("<u4").tobytes()
 
 
 def vocabulary_path() -> str:
