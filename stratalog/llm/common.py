@@ -2,7 +2,7 @@
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator
 from functools import cache
 
 import numpy as np
@@ -53,6 +53,24 @@ def _trim():
     return getattr(ctypes.CDLL(None), "malloc_trim", lambda pad: 0)
 
 
+_HELD: dict = {}
+
+
+def held(key: Hashable, make: Callable):
+    """What a worker process keeps from task to task: ``make()`` at first, until a task of another operator lets it go."""
+    if key not in _HELD:
+        release()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def release() -> None:
+    """Lets go what tasks of another operator have held in this worker process, which has that beside its own else."""
+    if _HELD:
+        _HELD.clear()
+        _trim()(0)
+
+
 def parts(b: pa.RecordBatch, text: str = "text", size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """``b`` in slices of about ``size`` bytes of text, one row at least; free memory goes back after each."""
     n = pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from stratalog.llm.common import parts, slim
+from stratalog.llm.common import parts, release, slim
 from stratalog.plans.scratch import cut, ranked
 
 DIM, N, SEED = 512, 3, 20260
@@ -165,6 +165,7 @@ def learn(docs: DataFrame) -> DataFrame:
     slim(docs.sparkSession)
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         book = Codebook()
         counts: dict[str, np.ndarray] = {}
         other: dict[str, np.ndarray] = {}
@@ -212,6 +213,7 @@ def _compare(docs: DataFrame, names: list[str], matrix: np.ndarray, keep: list[s
     matrix = matrix / np.where(norms > 0, norms, 1)[:, None]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         book = Codebook()
         for whole in batches:
             for b in parts(whole):

@@ -28,7 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from stratalog.llm.common import WordHashes, mix, parts, shingles, slim, small
+from stratalog.llm.common import WordHashes, mix, parts, release, shingles, slim, small
 from stratalog.llm.components import components
 from stratalog.plans.scratch import cut
 
@@ -236,6 +236,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         s = Sketch(k, bands)
         for b in (p for whole in batches for p in parts(whole)):
             n, one, two, bh, sig = [], [], [], [], []
@@ -303,6 +304,7 @@ def _families(reps: DataFrame, inside: DataFrame, known: DataFrame, most: int, p
     m = m.join(open_, "band", "left_semi").select(F.col("band").alias("grp"), "rep", "comp", F.lit(1).cast("long").alias("w")).distinct()
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for t in _by_task(batches):
             left, right, may = _meet(t, most, percent)
             if may.any():
@@ -325,6 +327,7 @@ def _confirmed(docs: DataFrame, seats: DataFrame, k: int, bands: int, most: int,
     """Confirmed links (u, v): for each task the pairs that meet in it, on the full sets, at most a link for each member."""
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         s = Sketch(k, bands)
         for t in _by_task(batches):
             left, right, may = _meet(t, most, percent)

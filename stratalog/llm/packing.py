@@ -15,7 +15,6 @@ import json
 import os
 import zlib
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -24,12 +23,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from stratalog.llm.common import parts, slim
+from stratalog.llm.common import held, parts, slim
 from stratalog.plans.scratch import cut
 
 LENGTH, END, TOKENIZER = 2048, 0, "word_bpe_49k.json"
-#: Chunks kept in a generation, and bytes of text to a call.
-_CACHE, _BYTES, _MARKS, _END = 150_000, 4 << 20, (b".", b","), np.uint32(END).astype("<u4").tobytes()
+#: Chunks kept, bytes of the longest one kept, and bytes of text to a call.
+_CACHE, _LONGEST, _BYTES, _MARKS, _END = 200_000, 64, 2 << 20, (b".", b","), np.uint32(END).astype("<u4").tobytes()
 
 
 def vocabulary_path() -> str:
@@ -50,8 +49,9 @@ class Ids:
     """Token ids of a text. Where the tokenizer never joins over ASCII white space (``by_words``), what lies between is
     encoded once and kept; the texts of any other one are encoded as they are.
 
-    Two generations are kept, so that common words survive when the bound is met. Such a tokenizer lowers case, and ends a
-    word at punctuation: chunks are looked up in lower case, and unmet ones of ASCII without one last full stop or comma.
+    Chunks are kept in Arrow and their ids in one array, some 30 bytes each where a dictionary takes 200. When the bound is
+    met, the half that was met in the most calls stays. Such a tokenizer lowers case, and ends a word at punctuation:
+    chunks are looked up in lower case, and unmet ones of ASCII without one last full stop or comma.
     """
 
     def __init__(self, path: str):
@@ -59,49 +59,77 @@ class Ids:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tok, self.known, self.old = Tokenizer.from_file(path), {}, {}
+        self.tok = Tokenizer.from_file(path)
         self.words = by_words(json.loads(self.tok.to_str()))
         self.last = np.zeros(self.tok.get_vocab_size() + 1, bool)
         self.last[[i for t, i in self.tok.get_vocab().items() if t.endswith("</w>")]] = True
         self.batch = getattr(self.tok, "encode_batch_fast", self.tok.encode_batch)
+        # Chunks, their ids in turn, where each one's ids end, and in how many calls it was met.
+        self.chunks, self.ids = pa.array([], pa.binary()), np.zeros(0, "<u4")
+        self.ends, self.met = np.zeros(1, np.int64), np.zeros(0, np.float32)
 
-    def _encode(self, chunks: list[bytes]) -> None:
+    def _encode(self, chunks: list[bytes]) -> dict[bytes, bytes]:
         """Words of letters only go many to a call: each is one word to the tokenizer and its last token says so."""
+        out = {}
         texts = [p.decode("utf-8", "replace") for p in chunks]
         single = [i for i, t in enumerate(texts) if not t.isalpha()]
         words = [i for i, t in enumerate(texts) if t.isalpha()]
         groups = [words[at : at + 256] for at in range(0, len(words), 256)]
-        for g, e in zip(groups, self.batch([" ".join([texts[i] for i in g]) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, "<u4")
-            stops = np.flatnonzero(self.last[ids]) + 1
-            if len(stops) != len(g):  # letters that are normalised to something else
-                single += g
-                continue
-            raw, at = ids.tobytes(), 0
-            for i, to in zip(g, (stops * 4).tolist(), strict=True):
-                self.known[chunks[i]] = raw[at:to]
-                at = to
-        for at in range(0, len(single), 4096):
-            some = single[at : at + 4096]
+        for some in (groups[at : at + 16] for at in range(0, len(groups), 16)):
+            for g, e in zip(some, self.batch([" ".join([texts[i] for i in g]) for g in some], add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, "<u4")
+                stops = np.flatnonzero(self.last[ids]) + 1
+                if len(stops) != len(g):  # letters that are normalised to something else
+                    single += g
+                    continue
+                raw, at = ids.tobytes(), 0
+                for i, to in zip(g, (stops * 4).tolist(), strict=True):
+                    out[chunks[i]] = raw[at:to]
+                    at = to
+        for at in range(0, len(single), 1024):
+            some = single[at : at + 1024]
             for i, e in zip(some, self.batch([texts[i] for i in some], add_special_tokens=False), strict=True):
-                self.known[chunks[i]] = np.array(e.ids, "<u4").tobytes()
-
-    def _lookup(self, chunks: list[bytes]) -> list[bytes]:
-        """The ids of distinct chunks, as bytes."""
-        if len(self.known) > _CACHE:
-            self.known, self.old = {}, self.known
-        known, old = self.known, self.old
-        new = [p for p in chunks if p not in known]
-        if old:
-            known.update([(p, old[p]) for p in new if p in old])
-            new = [p for p in new if p not in known]
+                out[chunks[i]] = np.array(e.ids, "<u4").tobytes()
+        return out
+
+    def _unmet(self, chunks: list[bytes]) -> list[bytes]:
+        """The ids of distinct chunks that are not kept, as bytes."""
         # A word with one last mark has the ids of the word, then those of the mark.
-        marked = [p for p in new if p[-1:] in _MARKS and p[-2:-1].isalnum() and p.isascii() and b"<|" not in p]
-        apart = set(marked)
-        todo = {p for p in new if p not in apart} | {p[:-1] for p in marked} | {p[-1:] for p in marked}
-        self._encode([p for p in todo if p not in known])
-        known.update([(p, known[p[:-1]] + known[p[-1:]]) for p in marked])
-        return [known[p] for p in chunks]
+        marked = {p for p in chunks if p[-1:] in _MARKS and p[-2:-1].isalnum() and p.isascii() and b"<|" not in p}
+        todo = list({p for p in chunks if p not in marked} | {p[:-1] for p in marked} | {p[-1:] for p in marked})
+        at = pc.index_in(pa.array(todo, pa.binary()), value_set=self.chunks).to_pylist()
+        known = {p: self.ids[self.ends[i] : self.ends[i + 1]].tobytes() for p, i in zip(todo, at, strict=True) if i is not None}
+        known |= self._encode([p for p, i in zip(todo, at, strict=True) if i is None])
+        return [known[p[:-1]] + known[p[-1:]] if p in marked else known[p] for p in chunks]
+
+    def _lookup(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and where in them those of each of some distinct chunks begin and end."""
+        at = pc.index_in(chunks, value_set=self.chunks)
+        new, at = chunks.filter(at.is_null()), pc.fill_null(at, -1).to_numpy().astype(np.int64)
+        self.met[at[at >= 0]] += 1
+        if not len(new):
+            return self.ids, self.ends[at], self.ends[at + 1]
+        raw = self._unmet(new.to_pylist())
+        at[at < 0] = len(self.chunks) + np.arange(len(new))
+        ids = np.concatenate([self.ids, np.frombuffer(b"".join(raw), "<u4")])
+        ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)) // 4)])
+        self._keep(new, ids, ends)
+        return ids, ends[at], ends[at + 1]
+
+    def _keep(self, new: pa.Array, ids: np.ndarray, ends: np.ndarray) -> None:
+        """Keeps the chunks that there are and new ones, which all have their ids in ``ids``, as far as the bounds allow."""
+        short = np.concatenate([np.ones(len(self.chunks), bool), pc.binary_length(new).to_numpy() <= _LONGEST])
+        chunks, met = pa.concat_arrays([self.chunks, new]), np.concatenate([self.met, np.ones(len(new), np.float32)])
+        if short.sum() > _CACHE:
+            most = np.argsort(np.where(short, -met, np.inf), kind="stable")[: _CACHE // 2]
+            stay = np.zeros(len(short), bool)
+            stay[most] = True
+            short &= stay
+            met /= 2
+        if not short.all():
+            n = np.diff(ends)
+            chunks, met, ids, ends = chunks.filter(pa.array(short)), met[short], ids[np.repeat(short, n)], np.concatenate([[0], np.cumsum(n[short])])
+        self.chunks, self.met, self.ids, self.ends = chunks, met, ids, ends
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in turn, and where each text's begin (with the end of the last). A null has none.
@@ -118,20 +146,18 @@ class Ids:
         bounds, words = parts.offsets.to_numpy(), parts.values.cast(pa.binary()).dictionary_encode()
         if not len(words):
             return np.zeros(0, "<u4"), np.zeros(len(texts) + 1, np.int64)
-        ids = self._lookup(words.dictionary.to_pylist())
-        length = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        first, at = np.cumsum(length) - length, words.indices.to_numpy()
-        n = length[at]
-        ends = np.concatenate([[0], np.cumsum(n)])
-        where = np.repeat(first[at] - ends[:-1], n)
+        ids, first, to = self._lookup(words.dictionary)
+        at = words.indices.to_numpy()
+        ends = np.zeros(len(at) + 1, np.int64)
+        np.cumsum((to - first)[at], out=ends[1:])
+        where = np.repeat(first[at] - ends[:-1], np.diff(ends))
         where += np.arange(len(where))
-        return np.frombuffer(b"".join(ids), "<u4")[where], ends[bounds]
+        return ids[where], ends[bounds]
 
 
-@cache
 def ids_of(path: str) -> Ids:
     """One for a worker process, so that a task goes on with the words that the tasks before it have met."""
-    return Ids(path)
+    return held(("ids", path), lambda: Ids(path))
 
 
 def pieces(docs: DataFrame, path: str | None = None) -> DataFrame:

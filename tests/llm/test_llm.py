@@ -3,6 +3,8 @@ import base64
 import hashlib
 import itertools
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter
 
@@ -192,6 +194,47 @@ def test_ids_of_any_tokenizer():
         assert [got[a:z].tolist() for a, z in zip(bounds[:-1], bounds[1:], strict=True)] == [tok.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
+def test_kept_chunks_are_bounded(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "_CACHE", 60)
+    monkeypatch.setattr(packing, "_LONGEST", 12)
+    path = packing.vocabulary_path()
+    ids, tok, rng = packing.Ids(path), Tokenizer.from_file(path), np.random.default_rng(3)
+    for _ in range(12):
+        texts = [" ".join(f"{'Word' * (n % 5)}{chr(97 + n % 26)}{n}{'.,-'[n % 3]}" for n in rng.zipf(1.5, 40).clip(max=10**6).tolist()) for _ in range(4)]
+        got, bounds = ids(pa.array(texts))
+        assert [got[a:z].tolist() for a, z in zip(bounds[:-1], bounds[1:], strict=True)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+        assert len(ids.chunks) == len(ids.met) == len(ids.ends) - 1 <= 60 and ids.ends[-1] == len(ids.ids)
+        assert all(len(c.as_py()) <= 12 for c in ids.chunks)
+
+
+def test_memory_of_a_worker_that_tokenizes():
+    """Beside the tokenizer, a worker process keeps little of many different words, and lets that go for other operators."""
+    code = """
+import re
+import numpy as np, pyarrow as pa
+from stratalog.llm import common, packing
+now = lambda: int(re.search(r"Pss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read())[1]) / 1024
+ids = packing.ids_of(packing.vocabulary_path())
+ids(pa.array(["some words"]))
+rng = np.random.default_rng(1)
+letters = rng.integers(97, 123, (60, 10_000, 9), np.uint8)
+letters[:, :, 8] = 32
+b = pa.record_batch({"text": [x.tobytes().decode() for x in letters]})
+before = now()
+for x in common.parts(b, size=1 << 20):
+    ids(x.column("text"))
+common._trim()(0)
+print(now() - before)
+del ids
+getattr(common, "release", lambda: None)()
+print(now() - before)
+"""
+    kept, left = map(float, subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, timeout=120).stdout.split())
+    assert kept < 20 and left < kept
+
+
 def test_fullest_equals_search():
     rng = np.random.default_rng(0)
     for _ in range(60):
