@@ -65,7 +65,7 @@ def held(key: Hashable, make: Callable):
 
 
 def release() -> None:
-    """Lets go what tasks of another operator have held in this worker process, which has that beside its own else."""
+    """Lets go of what tasks of another operator have held in this worker process."""
     if _HELD:
         _HELD.clear()
         _trim()(0)
