@@ -61,18 +61,20 @@ def bound(d: DataFrame, probes: DataFrame, k: str = "k", strict: bool = False, n
     """The first key at or above (``strict``: above) each probe.
 
     Probes and keys are sorted together, range by range; each probe takes the next key of its range or, past the
-    range's end, the least key of the ranges after, of which there is one row per range.
+    range's end, the least key of the ranges after, of which there is one row per range. Windows run downwards from the
+    end, so that a frame only grows: one that shrinks is computed anew for each row. A null probe has no answer.
     """
     # A key sorts before equal probes where it may not answer them, and after them where it may.
     rows = d.select(F.col(k).alias("k"), F.lit(0 if strict else 1).alias("o"), F.col(k).alias("hit")).unionByName(
         probes.select(F.col(k).alias("k"), F.lit(1 if strict else 0).alias("o"), F.lit(None).cast(d.schema[k].dataType).alias("hit")).distinct()
     )
     placed = cut(rows.repartitionByRange("k", "o").withColumn("p", F.spark_partition_id()), "bound")
-    ahead = Window.partitionBy("p").orderBy("k", "o").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    ahead = Window.partitionBy("p").orderBy(F.desc("k"), F.desc("o")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     firsts = placed.groupBy("p").agg(F.min("hit").alias("f"))
-    later = firsts.select("p", F.min("f").over(Window.orderBy("p").rowsBetween(1, Window.unboundedFollowing)).alias("later"))
-    near = placed.withColumn("near", F.first("hit", ignorenulls=True).over(ahead)).filter((F.col("o") == 1) == F.lit(strict))
-    return near.join(F.broadcast(later), "p").select(F.col("k").alias("probe"), F.coalesce("near", "later").alias(name))
+    later = firsts.select("p", F.min("f").over(Window.orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, -1)).alias("later"))
+    near = placed.withColumn("near", F.last("hit", ignorenulls=True).over(ahead)).filter((F.col("o") == 1) == F.lit(strict))
+    found = F.when(F.col("k").isNotNull(), F.coalesce("near", "later"))
+    return near.join(F.broadcast(later), "p").select(F.col("k").alias("probe"), found.alias(name))
 
 
 def prefix_lengths(d: DataFrame, k: str = "k", cap: int = 255) -> DataFrame:
