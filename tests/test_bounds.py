@@ -27,7 +27,7 @@ def one_range_each(spark):
     spark.conf.unset(name)
 
 
-STRICT = [False]
+STRICT = [False, True]
 
 
 @pytest.mark.parametrize("strict", STRICT)
